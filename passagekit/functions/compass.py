@@ -21,7 +21,8 @@ def compass_direction(heading: Column) -> Column:
     is north, out-of-range values included. Null stays null.
     """
     edges_reached = reduce(add, [(heading >= F.lit(edge)).cast("int") for edge in OCTANT_EDGES])
-    return F.element_at(F.array(*[F.lit(name) for name in OCTANTS]), edges_reached + 1)
+    octants = F.array(*[F.lit(name) for name in OCTANTS])
+    return F.when(heading.isNotNull(), F.element_at(octants, edges_reached + 1))
 
 
 def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

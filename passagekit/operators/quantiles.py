@@ -46,8 +46,7 @@ def exact_quantiles(
     high = [min(p + slack, 1.0) for p in probs]
     sketch = present.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx("y", low, accuracy).alias("low"),
-        F.percentile_approx("y", high, accuracy).alias("high"),
+        F.percentile_approx("y", low + high, accuracy).alias("brackets"),
     )
     # The error bound in rows only exceeds the two rows to interpolate between
     # once the group is large; a small group is ranked as a whole.
@@ -58,8 +57,10 @@ def exact_quantiles(
             *[
                 F.struct(
                     (F.lit(float(p)) * (F.col("rows") - 1)).alias("position"),
-                    F.when(large & F.lit(low[i] > 0), F.col("low")[i]).alias("low"),
-                    F.when(large & F.lit(high[i] < 1), F.col("high")[i]).alias("high"),
+                    F.when(large & F.lit(low[i] > 0), F.col("brackets")[i]).alias("low"),
+                    F.when(
+                        large & F.lit(high[i] < 1), F.col("brackets")[len(probs) + i]
+                    ).alias("high"),
                 )
                 for i, p in enumerate(probs)
             ]

@@ -317,7 +317,7 @@ def lines_of_distinct_points(spark, sf_dir):
                || string_agg('"' || strftime(dt_pos_utc, '%Y-%m-%d %H:%M:%S') || '"',
                              ',' ORDER BY dt_pos_utc, longitude, latitude)
                || ']}}}}' AS feature
-        FROM ({_near(_PASSAGES)}) points GROUP BY vessel_key""".replace("{{", "{").replace("}}", "}"),
+        FROM ({_near(_PASSAGES)}) points GROUP BY vessel_key""",
 )
 def lines_as_geojson(spark, sf_dir):
     lines = trajectory_lines(near_all(spark, sf_dir))
@@ -712,7 +712,7 @@ _FEATURES_SQL = f"""
             SELECT k, ring, '[' || string_agg('[' || CAST(CAST(x AS DOUBLE) AS VARCHAR) || ','
                    || CAST(CAST(y AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY pos) || ']' AS ring_text
             FROM ({_RING_POINTS}) points GROUP BY k, ring) texts GROUP BY k) r ON r.k = g.row_id
-    """.replace("{{geofences}}", "{geofences}").replace("{{", "{").replace("}}", "}")
+    """
 
 
 @report("geofence_features", _FEATURES_SQL)
