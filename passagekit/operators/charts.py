@@ -101,9 +101,8 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     if not _is_numeric(df, x):
         return value_counts(df, x)
     values = df.select(_q(x).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    spread = hi - lo
+    span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    lo, spread = span["lo"], span["hi"] - span["lo"]
     place = F.when(spread == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col("v") - lo) * bins / F.nullif(spread, F.lit(0.0))) + 1, F.lit(bins))
     )

@@ -480,7 +480,7 @@ def cargo_sum_by_region_color(spark, sf_dir):
 
 
 @report(
-    "cargo_mean_by_month_color",
+    "cargo_mean_by_date_color",
     f"""SELECT coalesce(strftime(unload_date, '%Y-%m-%d %H:%M:%S'), 'NaT') AS unload_date,
                vessel_type, round(AVG(date_diff), 6) AS value
         FROM ({_TABLE}) m WHERE vessel_type IS NOT NULL GROUP BY ALL""",
@@ -722,8 +722,8 @@ def geofence_features(spark, sf_dir):
 
 @report(
     "geofence_feature_collections",
-    """SELECT CAST(0 AS BIGINT) AS part, COUNT(*) AS n_features FROM {geofences} g
-       HAVING COUNT(*) <= 10000""",
+    """SELECT CAST(i // 10000 AS BIGINT) AS part, COUNT(*) AS n_features
+       FROM (SELECT ROW_NUMBER() OVER () - 1 AS i FROM {geofences} g) numbered GROUP BY 1""",
 )
 def geofence_feature_collections(spark, sf_dir):
     features = geofences.geofence_features(_geofences(spark, sf_dir))
