@@ -50,12 +50,11 @@ def match_cargo(
     first and last passage date if they are known, to leave out cargo at the
     scan that cannot match.
 
-    The distance depends on calendar days only. Cargo is therefore first
-    reduced to one row per vessel and day and passages to their distinct
-    vessel days, both before any shuffle of whole rows. What is left per vessel
-    is bounded by the calendar, however many rows the vessel had. One pass over
-    these days in each direction finds the nearest cargo without comparing
-    pairs.
+    The distance depends on calendar days only. Both sides are first reduced to
+    their distinct vessel days, which the calendar bounds however many rows a
+    vessel has, and one pass over these days in each direction finds the
+    nearest cargo day without comparing pairs. Whole rows are only ranked
+    within one vessel day, after each task has kept its own best.
     """
     if date_col not in JOIN_DATES:
         raise ValueError(f"unknown date column {date_col!r}, expected one of {JOIN_DATES}")
@@ -73,76 +72,79 @@ def match_cargo(
                 as_date(between[1]) + reach,
             )
         )
-    cargo_order = list(dict.fromkeys([*cargo_tie, *CARGO_COLUMNS]))
-    cargo_days = candidates.groupBy(
-        F.col("vessel_imo").alias("vessel_key"), F.to_date(date_col).alias("day")
-    ).agg(F.min(F.struct(*[F.col(f"`{name}`") for name in cargo_order])).alias("cargo"))
-
+    cargo_day = F.to_date(date_col)
+    cargo_days = candidates.select(
+        F.col("vessel_imo").alias("vessel_key"), cargo_day.alias("day")
+    ).distinct()
     passage_days = (
         passages.select("vessel_key", F.to_date("passage_time").alias("day")).dropna().distinct()
     )
-    nearest = _nearest_by_day(passage_days, cargo_days, max_days)
+    nearest = _nearest_days(passage_days, cargo_days, max_days)
+
+    cargo_order = list(dict.fromkeys([*cargo_tie, *CARGO_COLUMNS]))
+    best_of_day = _first_per_group(
+        candidates.withColumn("cargo_day", cargo_day), ["vessel_imo", "cargo_day"], cargo_order
+    )
+    # Two days tie if cargo lies equally far before and after the passage.
+    winners = _first_per_group(
+        nearest.join(
+            best_of_day,
+            (F.col("vessel_key") == F.col("vessel_imo")) & (F.col("day") == F.col("cargo_day")),
+        ),
+        ["vessel_key", "passage_day"],
+        cargo_order,
+    ).select("vessel_key", "passage_day", "gap", *[f"`{name}`" for name in CARGO_COLUMNS])
 
     others = [name for name in PASSAGE_COLUMNS if name not in partition_by]
     passage_order = list(dict.fromkeys([*passage_tie, *others]))
-    single = (
-        passages.groupBy(*partition_by)
-        .agg(F.min(F.struct(*passage_order)).alias("passage"))
-        .select(
-            *partition_by,
-            *[F.col(f"passage.{name}").alias(name) for name in others],
-            F.to_date("passage_time").alias("_day"),
-        )
-        .alias("single")
-    )
-    nearest = nearest.alias("nearest")
+    single = _first_per_group(passages, partition_by, passage_order).alias("single")
+    winners = winners.alias("winners")
     matched = single.join(
-        nearest,
-        (F.col("single.vessel_key") == F.col("nearest.vessel_key"))
-        & (F.col("single._day") == F.col("nearest.day")),
+        winners,
+        (F.col("single.vessel_key") == F.col("winners.vessel_key"))
+        & (F.to_date("single.passage_time") == F.col("winners.passage_day")),
         "left",
     ).select(
-        *[F.col(f"single.{name}").alias(name) for name in PASSAGE_COLUMNS],
-        F.col("nearest.best.gap").alias("date_diff"),
-        *[F.col(f"nearest.best.cargo.`{name}`").alias(name) for name in CARGO_COLUMNS],
+        *[f"single.{name}" for name in PASSAGE_COLUMNS],
+        F.col("winners.gap").alias("date_diff"),
+        *[f"winners.`{name}`" for name in CARGO_COLUMNS],
     )
-    matched = matched.select(*MATCHED_COLUMNS)
+    matched = matched.select(*[f"`{name}`" for name in MATCHED_COLUMNS])
     return matched.orderBy(*partition_by) if ordered else matched
 
 
-def _nearest_by_day(passage_days: DataFrame, cargo_days: DataFrame, max_days: int) -> DataFrame:
-    """Per passage day the struct ``best`` of gap and cargo, where one is in reach."""
-    timeline = cargo_days.select(
-        "vessel_key", "day", F.lit(False).alias("wants"), F.struct("day", "cargo").alias("found")
-    ).unionByName(
-        passage_days.select("vessel_key", "day", F.lit(True).alias("wants")),
-        allowMissingColumns=True,
+def _first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each group by ``order``, nulls first."""
+    ranking = Window.partitionBy(*by).orderBy(*[F.asc_nulls_first(f"`{name}`") for name in order])
+    return df.withColumn("_rank", F.row_number().over(ranking)).where("_rank = 1").drop("_rank")
+
+
+def _nearest_days(passage_days: DataFrame, cargo_days: DataFrame, max_days: int) -> DataFrame:
+    """The cargo days nearest to each passage day, one or two, and their ``gap``."""
+    timeline = cargo_days.withColumn("cargo_day", F.col("day")).unionByName(
+        passage_days.withColumn("passage_day", F.col("day")), allowMissingColumns=True
     )
+    # Cargo sorts before the passages of its day in both directions.
+    cargo_first = F.asc_nulls_first("passage_day")
     vessel = Window.partitionBy("vessel_key")
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    latest = F.last("found", ignorenulls=True)
-    # Cargo sorts before the passages of its day in both directions.
+    upwards = vessel.orderBy("day", cargo_first).rowsBetween(*so_far)
+    downwards = vessel.orderBy(F.desc("day"), cargo_first).rowsBetween(*so_far)
+    sides = F.array_compact(F.array("before", "after"))
     return (
-        timeline.withColumn("before", latest.over(vessel.orderBy("day", "wants").rowsBetween(*so_far)))
-        .withColumn(
-            "after", latest.over(vessel.orderBy(F.desc("day"), "wants").rowsBetween(*so_far))
-        )
-        .where("wants")
+        timeline.withColumn("before", F.max("cargo_day").over(upwards))
+        .withColumn("after", F.min("cargo_day").over(downwards))
+        .where(F.col("passage_day").isNotNull())
+        .withColumn("gap", F.least(F.date_diff("passage_day", "before"), F.date_diff("after", "passage_day")))
+        .where(F.col("gap") <= max_days)
         .select(
             "vessel_key",
-            "day",
-            F.array_min(
-                F.filter(
-                    F.transform(
-                        F.array("before", "after"),
-                        lambda side: F.struct(
-                            F.abs(F.date_diff(side["day"], F.col("day"))).alias("gap"),
-                            side["cargo"].alias("cargo"),
-                        ),
-                    ),
-                    lambda side: side["gap"] <= max_days,
+            "passage_day",
+            "gap",
+            F.explode(
+                F.array_distinct(
+                    F.filter(sides, lambda day: F.abs(F.date_diff(day, "passage_day")) == F.col("gap"))
                 )
-            ).alias("best"),
+            ).alias("day"),
         )
-        .where(F.col("best").isNotNull())
     )

@@ -130,3 +130,5 @@ def test_a_hot_vessel_is_reduced_before_the_window(spark):
     flows = spark.createDataFrame([tuple(row.values())] * 50, CARGO_FLOWS)
     matched = match_cargo(hot, flows)
     assert sorted(r.date_diff for r in matched.collect()) == [0, 1, 2]
+    plan = matched._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("WindowGroupLimit") >= 4
