@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ COMPACT_WKT_STEPS = ((" (", "("), (") ", ")"), (" ,", ","), (", ", ","))
 POLYGON_TEXT = r"(?is)^\s*POLYGON\s*(?:Z\s*)?\(\s*(\(.*\))\s*\)\s*$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compact_wkt(wkt: Column) -> Column:
     """WKT without spaces around brackets and commas, one literal pass per step."""
     for spaced, tight in COMPACT_WKT_STEPS:
@@ -37,7 +44,7 @@ def polygon_rings(wkt: Column) -> Column:
             ),
         ),
     )
-    sound = F.forall(
+    sound = lambda rings: F.forall(
         rings,
         lambda ring: F.forall(
             ring,
@@ -45,7 +52,7 @@ def polygon_rings(wkt: Column) -> Column:
             & F.forall(point, lambda number: number.isNotNull()),
         ),
     )
-    return F.when((body != "") & sound, rings)
+    return bound(rings, lambda rings: F.when(sound(rings), rings))
 
 
 def number_text(number: Column) -> Column:
@@ -74,9 +81,11 @@ def rings_to_wkt(rings: Column) -> Column:
 
 def geometry_struct(kind: str, coordinates: Column) -> Column:
     """GeoJSON geometry, null where the coordinates are."""
-    return F.when(
-        coordinates.isNotNull(),
-        F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")),
+    return bound(
+        coordinates,
+        lambda known: F.when(
+            known.isNotNull(), F.struct(F.lit(kind).alias("type"), known.alias("coordinates"))
+        ),
     )
 
 

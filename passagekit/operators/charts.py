@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from passagekit.operators.quantiles import exact_quantiles, value_weights
+from passagekit.operators.quantiles import SKETCH_ACCURACY, exact_quantiles, value_weights
 
 HISTOGRAM_BINS = 20
 QUARTILES = (0.25, 0.5, 0.75)
@@ -102,15 +102,14 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
         return value_counts(df, x)
     values = df.select(_q(x).cast("double").alias("v")).where(F.col("v").isNotNull())
     span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    lo, spread = span["lo"], span["hi"] - span["lo"]
+    lo, spread = F.col("span.lo"), F.col("span.hi") - F.col("span.lo")
     place = F.when(spread == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col("v") - lo) * bins / F.nullif(spread, F.lit(0.0))) + 1, F.lit(bins))
     )
-    counts = values.groupBy(place.cast("int").alias("bin")).count()
-    spark = df.sparkSession
+    counts = values.withColumn("span", span).groupBy(place.cast("int").alias("bin")).count()
     return (
-        spark.range(1, bins + 1)
-        .select(F.col("id").cast("int").alias("bin"))
+        df.sparkSession.range(1, bins + 1)
+        .select(F.col("id").cast("int").alias("bin"), span.alias("span"))
         .join(counts, "bin", "left")
         .select(
             "bin",
@@ -140,28 +139,30 @@ def box_summary(
     """
     if not _is_numeric(df, y):
         raise ValueError(f"a box summary needs a numeric y column, {y!r} is not")
-    keys = [x] if color is None or color == x else [x, color]
-    keyed = _keyed(df, keys, null_label).select(*[_q(key) for key in keys], _q(y))
+    names = [x] if color is None or color == x else [x, color]
+    keys = [f"_key{i}" for i in range(len(names))]
+    keyed = _keyed(df, names, null_label).select(
+        *[_q(name).alias(key) for name, key in zip(names, keys)], _q(y).cast("double").alias("y")
+    )
     if approximate:
         quartiles = (
-            keyed.where(_q(y).isNotNull())
-            .groupBy(*[_q(key) for key in keys])
-            .agg(F.percentile_approx(_q(y).cast("double"), list(QUARTILES), 10_000).alias("q"))
-            .select(*[_q(key) for key in keys], *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
+            keyed.where(F.col("y").isNotNull())
+            .groupBy(*keys)
+            .agg(F.percentile_approx("y", list(QUARTILES), SKETCH_ACCURACY).alias("q"))
+            .select(*keys, *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
         )
     else:
-        quartiles = exact_quantiles(keyed, keys, y, QUARTILES)
-    weights = value_weights(keyed, keys, y).alias("weights")
+        quartiles = exact_quantiles(keyed, keys, "y", QUARTILES)
+    weights = value_weights(keyed, keys, "y").alias("weights")
     quartiles = quartiles.alias("quartiles")
     same_group = reduce(
-        and_, [F.col(f"weights.`{key}`") == F.col(f"quartiles.`{key}`") for key in keys]
+        and_, [F.col(f"weights.{key}") == F.col(f"quartiles.{key}") for key in keys]
     )
     reach = (F.col("q2") - F.col("q0")) * WHISKER_REACH
     value = F.col("y")
     return (
         weights.join(quartiles, same_group)
-        .select(*[F.col(f"weights.`{key}`") for key in keys], "y", "n", "q0", "q1", "q2")
-        .groupBy(*[_q(key) for key in keys])
+        .groupBy(*[F.col(f"weights.{key}").alias(key) for key in keys])
         .agg(
             F.sum("n").alias("n"),
             F.min(value).alias("min"),
@@ -172,7 +173,8 @@ def box_summary(
             F.min(F.when(value >= F.col("q0") - reach, value)).alias("lower_whisker"),
             F.max(F.when(value <= F.col("q2") + reach, value)).alias("upper_whisker"),
         )
-        .orderBy(*[_q(key) for key in keys])
+        .orderBy(*keys)
+        .withColumnsRenamed(dict(zip(keys, names)))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +31,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``y`` per group, as columns ``q0``, ``q1``, ...
 
-    Rows without a group are left out. The quantile at position ``p * (rows - 1)`` of the sorted group is found in
-    two steps. A mergeable sketch gives each quantile a lower and an upper
-    bracket that surely enclose it; rows below the bracket are only counted.
-    The values inside it, a few parts in ``accuracy`` of the group, are ranked
-    exactly. So no task sorts or holds a whole group.
+    Rows without a group are left out. The quantile at position
+    ``p * (rows - 1)`` of the sorted group is found in two steps. A mergeable
+    sketch gives each quantile a lower and an upper bracket that surely enclose
+    it; rows below the bracket are only counted. The values inside it, a few
+    parts in ``accuracy`` of the group, are ranked exactly. So no task sorts or
+    holds a whole group. Group columns must not be named ``y``, ``n``, ``i``,
+    ``position`` or ``slot``.
     """
     if not by:
         raise ValueError("exact_quantiles needs at least one group column")
@@ -56,6 +58,7 @@ def exact_quantiles(
         F.array(
             *[
                 F.struct(
+                    F.lit(i).alias("i"),
                     (F.lit(float(p)) * (F.col("rows") - 1)).alias("position"),
                     F.when(large & F.lit(low[i] > 0), F.col("brackets")[i]).alias("low"),
                     F.when(
@@ -70,64 +73,33 @@ def exact_quantiles(
     same_group = reduce(
         and_, [F.col(f"weights.{name}") == F.col(f"targets.{name}") for name in by]
     )
-    value = F.col("y")
-    joined = weights.join(targets, same_group).select(
-        *[F.col(f"weights.{name}") for name in by], "y", "n", "targets"
-    )
-    below = [F.coalesce(value < F.col("targets")[i]["low"], F.lit(False)) for i in range(len(probs))]
-    inside = [
-        ~below[i] & F.coalesce(value <= F.col("targets")[i]["high"], F.lit(True))
-        for i in range(len(probs))
-    ]
-    skipped = joined.groupBy(*by).agg(
-        *[F.sum(F.when(below[i], F.col("n")).otherwise(0)).alias(f"below{i}") for i in range(len(probs))]
-    ).alias("skipped")
-    bracketed = joined.where(reduce(or_, inside)).select(
-        *by,
-        "y",
-        "n",
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(
-                            inside[i],
-                            F.struct(
-                                F.lit(i).alias("i"), F.col("targets")[i]["position"].alias("position")
-                            ),
-                        )
-                        for i in range(len(probs))
-                    ]
-                ),
-                lambda target: target.isNotNull(),
-            )
-        ).alias("target"),
+    value, target = F.col("y"), F.col("target")
+    below = F.coalesce(value < target["low"], F.lit(False))
+    above = F.coalesce(value > target["high"], F.lit(False))
+    # Values below a bracket share the null slot, which sorts first; they only
+    # shift the row numbers of the values inside. Values above are not needed.
+    slots = (
+        weights.join(targets, same_group)
+        .select(*[F.col(f"weights.{name}") for name in by], "y", "n", F.explode("targets").alias("target"))
+        .where(~above)
+        .groupBy(*by, target["i"].alias("i"), target["position"].alias("position"),
+                 F.when(~below, value).alias("slot"))
+        .agg(F.sum("n").alias("n"))
     )
     up_to = (
-        Window.partitionBy(*by, "target.i")
-        .orderBy("y")
+        Window.partitionBy(*by, "i")
+        .orderBy(F.asc_nulls_first("slot"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = bracketed.withColumn("through", F.sum("n").over(up_to)).alias("ranked")
-    same_group = reduce(and_, [F.col(f"ranked.{name}") == F.col(f"skipped.{name}") for name in by])
-    offset = F.element_at(
-        F.array(*[F.col(f"below{i}") for i in range(len(probs))]), F.col("target.i") + 1
-    )
-    # Row numbers, from 0, that this value covers in the sorted group.
-    placed = ranked.join(skipped, same_group).select(
-        *[F.col(f"ranked.{name}") for name in by],
-        F.col("target.i").alias("i"),
-        F.col("target.position").alias("position"),
-        "y",
-        (offset + F.col("through") - F.col("n")).alias("first"),
-        (offset + F.col("through") - 1).alias("last"),
-    )
+    # Row numbers, from 0, that a value covers in the sorted group.
+    last = F.col("through") - 1
+    first = F.col("through") - F.col("n")
     lower_row, upper_row = F.floor("position"), F.ceil("position")
-    value_at = lambda row: F.max(F.when(row.between(F.col("first"), F.col("last")), value))
-    found = placed.groupBy(*by, "i").agg(
-        F.first("position").alias("position"),
-        value_at(lower_row).alias("lower"),
-        value_at(upper_row).alias("upper"),
+    value_at = lambda row: F.max(F.when(row.between(first, last), F.col("slot")))
+    found = (
+        slots.withColumn("through", F.sum("n").over(up_to))
+        .groupBy(*by, "i", "position")
+        .agg(value_at(lower_row).alias("lower"), value_at(upper_row).alias("upper"))
     )
     interpolated = F.col("lower") + (F.col("upper") - F.col("lower")) * (
         F.col("position") - F.floor("position")

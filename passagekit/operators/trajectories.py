@@ -17,6 +17,23 @@ TRAJECTORY_TOLERANCE_DAYS = 14
 MAX_POINTS_PER_ROW = 100_000
 
 
+POSITION_COLUMNS = ("vessel_key", "latitude", "longitude", "dt_pos_utc")
+
+
+def _within_reach(positions: DataFrame, max_days: int, between: tuple | None) -> DataFrame:
+    if between is None:
+        return positions
+    reach = dt.timedelta(days=max_days)
+    return positions.where(
+        within_dates(
+            F.col("dt_pos_utc"),
+            positions.schema["dt_pos_utc"].dataType,
+            as_date(between[0]) - reach,
+            as_date(between[1]) + reach,
+        )
+    )
+
+
 def positions_near_passages(
     positions: DataFrame,
     passages: DataFrame,
@@ -30,20 +47,8 @@ def positions_near_passages(
     the first and last passage date if they are known; positions that no such
     passage can reach are then left out at the scan.
     """
-    columns = ["vessel_key", "latitude", "longitude", "dt_pos_utc", *keep]
-    points = positions.select(*columns)
-    if between is not None:
-        reach = dt.timedelta(days=max_days)
-        points = points.where(
-            within_dates(
-                F.col("dt_pos_utc"),
-                positions.schema["dt_pos_utc"].dataType,
-                as_date(between[0]) - reach,
-                as_date(between[1]) + reach,
-            )
-        )
     near = day_band_join(
-        points,
+        _within_reach(positions, max_days, between).select(*POSITION_COLUMNS, *keep),
         passages.select("vessel_key", "geofence", "passage_time"),
         "vessel_key",
         "dt_pos_utc",
@@ -55,6 +60,42 @@ def positions_near_passages(
     )
 
 
+def counted_positions(
+    positions: DataFrame,
+    passages: DataFrame,
+    by: Sequence[str] = ("vessel_key",),
+    max_days: int = TRAJECTORY_TOLERANCE_DAYS,
+    between: tuple | None = None,
+) -> DataFrame:
+    """Positions near passages, once per line, with the number of these passages.
+
+    Gives the lines of :func:`positions_near_passages` without its pairs:
+    passages are counted per line and day, the counts are added up for every
+    day within ``max_days``, and each position looks up its own day. The work
+    grows with the positions and the days, whatever the number of passages.
+    Output columns are ``by``, the position and ``copies``.
+    """
+    line = list(dict.fromkeys(["vessel_key", *by]))
+    day = F.to_date("passage_time")
+    passages_per_day = (
+        passages.where(F.col("passage_time").isNotNull())
+        .groupBy(*line, day.alias("day"))
+        .agg(F.count(F.lit(1)).alias("passages"))
+    )
+    in_reach = F.explode(F.sequence(F.date_sub("day", max_days), F.date_add("day", max_days)))
+    copies_per_day = (
+        passages_per_day.select(*line, "passages", in_reach.alias("_day"))
+        .groupBy(*line, "_day")
+        .agg(F.sum("passages").alias("copies"))
+    )
+    points = _within_reach(positions, max_days, between).select(
+        *POSITION_COLUMNS, F.to_date("dt_pos_utc").alias("_day")
+    )
+    return points.join(copies_per_day, ["vessel_key", "_day"]).select(
+        *line, *POSITION_COLUMNS[1:], "copies"
+    )
+
+
 def distinct_points(points: DataFrame, by: Sequence[str] = ("vessel_key",)) -> DataFrame:
     """Each position once per line, however many passages it is near to."""
     return points.select(*by, "dt_pos_utc", "longitude", "latitude").distinct()
@@ -65,6 +106,7 @@ def trajectory_lines(
     by: Sequence[str] = ("vessel_key",),
     time_format: str = "yyyy-MM-dd HH:mm:ss",
     max_points: int = MAX_POINTS_PER_ROW,
+    copies: str | None = None,
 ) -> DataFrame:
     """One line per vessel: its coordinates and times in time order.
 
@@ -72,7 +114,8 @@ def trajectory_lines(
     [lon, lat]) and ``dates``. A line of up to ``max_points`` points is one row
     with part 0. A longer one continues in parts 1, 2, ... of ``max_points``
     each, so that no row and no task has to hold an unbounded line. Points
-    without a key in ``by`` belong to no line.
+    without a key in ``by`` belong to no line. ``copies`` names a column that
+    says how often a point occurs, see :func:`counted_positions`.
     """
     keyed = points.dropna(subset=list(by))
     parts = bounded_parts(
@@ -82,6 +125,7 @@ def trajectory_lines(
         # Points without a time sort first.
         cell=F.coalesce(F.date_trunc("hour", F.col("dt_pos_utc")), F.lit(dt.datetime(1, 1, 1))),
         max_rows=max_points,
+        copies=None if copies is None else F.col(copies),
     )
     ordered = F.sort_array(
         F.collect_list(F.struct("dt_pos_utc", "longitude", "latitude", "copies"))

@@ -14,6 +14,7 @@ def bounded_parts(
     order: Sequence[str],
     cell: Column,
     max_rows: int,
+    copies: Column | None = None,
 ) -> DataFrame:
     """One row per distinct (``by``, ``order``) and part, with its copies in that part.
 
@@ -23,14 +24,15 @@ def bounded_parts(
 
     ``cell`` is a coarse version of the leading order column: it must not
     decrease when the order increases, and a group must have a moderate number
-    of cells. Neither ``by`` nor ``cell`` may be null. Equal rows are folded into one with a count before anything is
+    of cells. Neither ``by`` nor ``cell`` may be null. ``copies`` says how often
+    an input row counts, once if it is not given. Equal rows are folded into one with a count before anything is
     shuffled on the group, cell totals give each cell its first number, and
     numbering inside a cell needs only that cell. No task sees a whole group.
     """
     keys = [*by, "_cell"]
     folded = (
         rows.groupBy(*by, *order)
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg((F.count(F.lit(1)) if copies is None else F.sum(copies)).alias("copies"))
         .withColumn("_cell", cell)
     )
     earlier_cells = (

@@ -19,6 +19,7 @@ from passagekit.operators.cargo import match_cargo
 from passagekit.operators.frequency import entries_per_period
 from passagekit.operators.passages import events_for, passages
 from passagekit.operators.trajectories import (
+    counted_positions,
     distinct_points,
     line_headings,
     positions_near_passages,
@@ -247,6 +248,19 @@ def near_filtered(spark, sf_dir):
     )
 
 
+@report(
+    "position_copies",
+    f"""SELECT geofence, vessel_key, latitude, longitude, dt_pos_utc,
+               CAST(COUNT(*) AS BIGINT) AS copies
+        FROM ({_near(_PASSAGES)}) n GROUP BY ALL""",
+)
+def position_copies(spark, sf_dir):
+    counted = _counted(spark, sf_dir, ("geofence", "vessel_key"))
+    # The check cannot tell equal position reports apart.
+    keys = [name for name in counted.columns if name != "copies"]
+    return counted.groupBy(*keys).agg(F.sum("copies").alias("copies"))
+
+
 @report("positions_of_lookback", _near(_LOOKBACK_PASSAGES))
 def near_lookback(spark, sf_dir):
     return recent_positions(
@@ -269,6 +283,14 @@ def _lines_check(points: str, keys: str) -> str:
         FROM ({points}) points GROUP BY {keys}"""
 
 
+def _counted(spark, sf_dir, by):
+    return counted_positions(_positions(spark, sf_dir), _all_passages(spark, sf_dir), by)
+
+
+def _lines(spark, sf_dir, by=("vessel_key",)):
+    return trajectory_lines(_counted(spark, sf_dir, by), by, copies="copies")
+
+
 def _lines_as_text(lines: DataFrame, *keys: str) -> DataFrame:
     tenths = lambda number: F.round(number * 10).cast("bigint").cast("string")
     return lines.select(
@@ -287,13 +309,13 @@ def _lines_as_text(lines: DataFrame, *keys: str) -> DataFrame:
 
 @report("trajectory_lines", _lines_check(_near(_PASSAGES), "vessel_key"))
 def lines_per_vessel(spark, sf_dir):
-    return _lines_as_text(trajectory_lines(near_all(spark, sf_dir)), "vessel_key")
+    return _lines_as_text(_lines(spark, sf_dir), "vessel_key")
 
 
 @report("trajectory_lines_by_geofence", _lines_check(_near(_PASSAGES), "geofence, vessel_key"))
 def lines_per_geofence(spark, sf_dir):
     keys = ("geofence", "vessel_key")
-    return _lines_as_text(trajectory_lines(near_all(spark, sf_dir), by=keys), *keys)
+    return _lines_as_text(_lines(spark, sf_dir, keys), *keys)
 
 
 @report(
@@ -304,7 +326,8 @@ def lines_per_geofence(spark, sf_dir):
     ),
 )
 def lines_of_distinct_points(spark, sf_dir):
-    return _lines_as_text(trajectory_lines(distinct_points(near_all(spark, sf_dir))), "vessel_key")
+    points = distinct_points(_counted(spark, sf_dir, ("vessel_key",)))
+    return _lines_as_text(trajectory_lines(points), "vessel_key")
 
 
 @report(
@@ -320,8 +343,7 @@ def lines_of_distinct_points(spark, sf_dir):
         FROM ({_near(_PASSAGES)}) points GROUP BY vessel_key""",
 )
 def lines_as_geojson(spark, sf_dir):
-    lines = trajectory_lines(near_all(spark, sf_dir))
-    return line_features(lines).select("vessel_key", "feature")
+    return line_features(_lines(spark, sf_dir)).select("vessel_key", "feature")
 
 
 @report(

@@ -31,15 +31,16 @@ def is_upload(name: Column) -> Column:
 def parse_collections(documents: DataFrame, text: str = "text", on_error: str = "drop") -> DataFrame:
     """Add ``collection``, the parsed feature collection of a document.
 
-    A document that is not valid JSON is dropped, or kept with a null
+    A document that is not a valid JSON object is dropped, or kept with a null
     collection for ``on_error="keep"``.
     """
     if on_error not in ("drop", "keep"):
         raise ValueError(f"unknown on_error {on_error!r}, expected 'drop' or 'keep'")
     parsed = F.from_json(F.col(text), COLLECTION_SCHEMA)
-    valid = F.get_json_object(F.col(text), "$").isNotNull()
-    result = documents.withColumn("collection", F.when(valid, parsed))
-    return result.where(F.col("collection").isNotNull()) if on_error == "drop" else result
+    valid = F.startswith(F.get_json_object(F.col(text), "$"), F.lit("{"))
+    if on_error == "drop":
+        return documents.where(valid).withColumn("collection", parsed)
+    return documents.withColumn("collection", F.when(valid, parsed))
 
 
 def read_geojson(spark: SparkSession, path: str, on_error: str = "drop") -> DataFrame:

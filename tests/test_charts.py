@@ -150,6 +150,12 @@ def test_box_summary(spark):
     assert near.median == pytest.approx(500, abs=2)
 
 
+def test_box_summary_of_awkward_names(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0)], "y int, `the n` string, i double")
+    box = charts.box_summary(df, "y", "i", color="the n").first()
+    assert (box["y"], box["the n"], box.n, box.median) == (1, "a", 2, 3.0)
+
+
 def test_box_summary_of_labelled_and_missing_groups(table):
     boxes = charts.box_summary(table, "x", "y", color="c")
     assert [(r.x, r.c, r.n, r.median) for r in boxes.collect()] == [("a", "red", 2, 2.0)]

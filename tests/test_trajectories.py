@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passagekit.operators.trajectories import (
+    counted_positions,
     distinct_points,
     line_headings,
     positions_near_passages,
@@ -44,6 +45,11 @@ def test_band_join_equals_all_pairs(spark, positions, passages, max_days):
     assert got == expected
 
 
+    lines = trajectory_lines(positions_near_passages(traj, psg, max_days))
+    counted = counted_positions(traj, psg, max_days=max_days)
+    assert sorted(lines.collect()) == sorted(trajectory_lines(counted, copies="copies").collect())
+
+
 def test_known_passage_dates_change_nothing(spark):
     hours = range(0, 24 * 90, 5)
     traj = spark.createDataFrame([(1, 0.0, 0.0, _hours(h)) for h in hours], POSITIONS)
@@ -52,6 +58,12 @@ def test_known_passage_dates_change_nothing(spark):
     bounded = positions_near_passages(traj, psg, 3, between=("1970-02-14", "1970-02-16"))
     assert plain.count() > 0
     assert sorted(plain.collect()) == sorted(bounded.collect())
+    counted = counted_positions(traj, psg, ("geofence", "vessel_key"), 3)
+    bounded = counted_positions(
+        traj, psg, ("geofence", "vessel_key"), 3, between=("1970-02-14", "1970-02-16")
+    )
+    assert counted.count() == plain.count()
+    assert sorted(counted.collect()) == sorted(bounded.collect())
 
 
 def test_a_hot_bucket_is_split_at_run_time(spark):
