@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.compass import bearing
@@ -69,24 +69,29 @@ def counted_positions(
 ) -> DataFrame:
     """Positions near passages, once per line, with the number of these passages.
 
-    Gives the lines of :func:`positions_near_passages` without its pairs:
-    passages are counted per line and day, the counts are added up for every
-    day within ``max_days``, and each position looks up its own day. The work
-    grows with the positions and the days, whatever the number of passages.
-    Output columns are ``by``, the position and ``copies``.
+    Gives the lines of :func:`positions_near_passages` without its pairs. Each
+    passage adds one to its line from ``max_days`` before its day to ``max_days``
+    after it. The running total of these steps tells how many passages reach a
+    day, and each position looks up its own day. The work grows with the
+    positions and the calendar, whatever the number of passages. Output columns
+    are ``by``, the position and ``copies``.
     """
     line = list(dict.fromkeys(["vessel_key", *by]))
     day = F.to_date("passage_time")
-    passages_per_day = (
+    first = F.struct(F.date_sub(day, max_days).alias("day"), F.lit(1).alias("step"))
+    past = F.struct(F.date_add(day, max_days + 1).alias("day"), F.lit(-1).alias("step"))
+    steps = (
         passages.where(F.col("passage_time").isNotNull())
-        .groupBy(*line, day.alias("day"))
-        .agg(F.count(F.lit(1)).alias("passages"))
+        .select(*line, F.inline(F.array(first, past)))
+        .groupBy(*line, "day")
+        .agg(F.sum("step").alias("step"))
     )
-    in_reach = F.explode(F.sequence(F.date_sub("day", max_days), F.date_add("day", max_days)))
+    in_order = Window.partitionBy(*line).orderBy("day")
     copies_per_day = (
-        passages_per_day.select(*line, "passages", in_reach.alias("_day"))
-        .groupBy(*line, "_day")
-        .agg(F.sum("passages").alias("copies"))
+        steps.withColumn("copies", F.sum("step").over(in_order))
+        .withColumn("until", F.lead("day").over(in_order))
+        .where(F.col("copies") > 0)
+        .select(*line, "copies", F.explode(F.sequence("day", F.date_sub("until", 1))).alias("_day"))
     )
     points = _within_reach(positions, max_days, between).select(
         *POSITION_COLUMNS, F.to_date("dt_pos_utc").alias("_day")
