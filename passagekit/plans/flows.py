@@ -1,4 +1,4 @@
-"""The two query flows from a selection to its result, each one lazy plan."""
+"""The query flows from a selection to its result, each one lazy plan."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ from passagekit.functions.dates import DEFAULT_LOOKBACK_DAYS, lookback_range
 from passagekit.operators.cargo import match_cargo
 from passagekit.operators.passages import passages
 from passagekit.operators.selection import EVERYTHING, Selection
-from passagekit.operators.trajectories import positions_near_passages
+from passagekit.operators.trajectories import (
+    counted_positions,
+    positions_near_passages,
+    trajectory_lines,
+)
+from passagekit.sinks.exports import line_features
 
 
 def recent_positions(
@@ -26,6 +31,27 @@ def recent_positions(
     return positions_near_passages(positions, chosen, between=(start, end))
 
 
+def recent_lines(
+    events: DataFrame,
+    vessels: DataFrame,
+    positions: DataFrame,
+    as_of,
+    days: int | None = DEFAULT_LOOKBACK_DAYS,
+    vessel_types: Selection = EVERYTHING,
+    geofences: Selection = EVERYTHING,
+) -> DataFrame:
+    """Trajectory lines around the passages of a look-back, per geofence and vessel.
+
+    The lines carry their GeoJSON ``feature``, ready to be written with one
+    folder per geofence.
+    """
+    start, end = lookback_range(as_of, days)
+    chosen = passages(events, vessels, start, end, vessel_types, geofences)
+    by = ("geofence", "vessel_key")
+    points = counted_positions(positions, chosen, by, between=(start, end))
+    return line_features(trajectory_lines(points, by, copies="copies"))
+
+
 def recent_cargo(
     events: DataFrame,
     vessels: DataFrame,

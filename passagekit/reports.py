@@ -25,7 +25,7 @@ from passagekit.operators.trajectories import (
     positions_near_passages,
     trajectory_lines,
 )
-from passagekit.plans.flows import recent_cargo, recent_positions
+from passagekit.plans.flows import recent_cargo, recent_lines, recent_positions
 from passagekit.schemas import CARGO_COLUMNS, from_lake_schema, to_lake_schema
 from passagekit.sinks.exports import line_features
 from passagekit.sources import geojson
@@ -318,6 +318,16 @@ def lines_per_geofence(spark, sf_dir):
     return _lines_as_text(_lines(spark, sf_dir, keys), *keys)
 
 
+@report(
+    "trajectory_lines_of_lookback", _lines_check(_near(_LOOKBACK_PASSAGES), "geofence, vessel_key")
+)
+def lines_of_lookback(spark, sf_dir):
+    lines = recent_lines(
+        _events(spark, sf_dir), _vessels(spark, sf_dir), _positions(spark, sf_dir), "1998-06-30"
+    )
+    return _lines_as_text(lines, "geofence", "vessel_key")
+
+
 @report(
     "trajectory_lines_distinct_points",
     _lines_check(

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -13,7 +14,8 @@ from passagekit.operators.trajectories import (
     positions_near_passages,
     trajectory_lines,
 )
-from passagekit.sinks.exports import line_features
+from passagekit.plans.flows import recent_lines
+from passagekit.sinks.exports import line_features, write_geojson
 
 POSITIONS = "vessel_key bigint, latitude double, longitude double, dt_pos_utc timestamp"
 PASSAGES = "vessel_key bigint, geofence string, passage_time timestamp"
@@ -171,6 +173,24 @@ def test_line_features(points):
     assert '"part"' not in texts[0] and texts[1].endswith('"part":1}}')
 
 
+def test_lines_of_a_look_back_are_exported_per_geofence(spark, tmp_path):
+    events = spark.createDataFrame(
+        [(1, 1, "A", _hours(0), None, None), (1, 1, "B", _hours(1), None, None), (2, 2, "A", _hours(2), None, None)],
+        "vessel_key bigint, imo bigint, geofence string, entry_time timestamp,"
+        " exit_time timestamp, exit_heading double",
+    )
+    vessels = spark.createDataFrame([(1, "LPG"), (2, "Oil")], "imo bigint, vessel_type string")
+    traj = spark.createDataFrame([(k, 1.0, float(h), _hours(h)) for k in (1, 2) for h in (5, 3)], POSITIONS)
+    lines = recent_lines(events, vessels, traj, _hours(30), vessel_types=["LPG"])
+    path = str(tmp_path / "lines")
+    write_geojson(lines, path)
+    stored = {r.geofence: json.loads(r.value) for r in spark.read.text(path).collect()}
+    assert sorted(stored) == ["A", "B"]
+    assert stored["A"]["geometry"] == {"type": "LineString", "coordinates": [[3.0, 1.0], [5.0, 1.0]]}
+    assert stored["A"]["properties"]["name"] == 1
+    assert recent_lines(events, vessels, traj, _hours(30), vessel_types=[]).count() == 0
+
+
 def test_line_headings(spark):
     lines = [
         ([[0.0, 0.0], [9.0, 9.0], [0.0, 10.0]],),
