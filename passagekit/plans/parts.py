@@ -25,9 +25,11 @@ def bounded_parts(
     ``cell`` is a coarse version of the leading order column: it must not
     decrease when the order increases, and a group must have a moderate number
     of cells. Neither ``by`` nor ``cell`` may be null. ``copies`` says how often
-    an input row counts, once if it is not given. Equal rows are folded into one with a count before anything is
-    shuffled on the group, cell totals give each cell its first number, and
-    numbering inside a cell needs only that cell. No task sees a whole group.
+    an input row counts, once if it is not given.
+
+    Equal rows are folded into one with a count before anything is shuffled on
+    the group, cell totals give each cell its first number, and numbering
+    inside a cell needs only that cell. No task sees a whole group.
     """
     keys = [*by, "_cell"]
     folded = (
@@ -41,7 +43,8 @@ def bounded_parts(
     cell_starts = (
         folded.groupBy(*keys)
         .agg(F.sum("copies").alias("_in_cell"))
-        .select(*keys, F.coalesce(F.sum("_in_cell").over(earlier_cells), F.lit(0)).alias("_cell_start"))
+        .withColumn("_cell_start", F.coalesce(F.sum("_in_cell").over(earlier_cells), F.lit(0)))
+        .select(*keys, "_cell_start")
     )
     earlier_in_cell = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
