@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as contract
+from passagekit.reports import CHECKS, QUERIES
 from tests import oracle
 
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -17,6 +16,11 @@ def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_every_query_is_registered():
+    assert QUERIES.items() <= contract.queries().items()
+    assert CHECKS.items() <= contract.oracle_sql().items()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_check(spark, con, sf_dir, name):
     result = QUERIES[name](spark, sf_dir)
