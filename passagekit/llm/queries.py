@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from passagekit.llm import simhash
+from passagekit.llm import bpe, packing, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op4_bpe": bpe.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
