@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, packing, simhash
+from passagekit.llm import bpe, packing, quality_rules, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_quality_rules": quality_rules.query,
     "op4_bpe": bpe.query,
     "op10_simhash_near_dedup": simhash.query,
 }
