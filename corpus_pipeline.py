@@ -7,25 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm import simhash
+from passagekit.llm import bpe, packing, pii, quality_model, quality_rules, simhash
+from passagekit.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest id."""
-    grouped = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.join(grouped, "doc_id", "left_semi")
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio against those labelled good."""
+    judged = quality_rules.with_verdict(docs, quality_rules.trusted(spark, sf_dir), out_col="_judged")
+    return judged.where("_judged.kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def keep_by_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good; it learns from the labels of these documents."""
+    scored = quality_model.with_score(docs, table(spark, sf_dir, "labels"), out_col="_score")
+    return scored.where(F.col("_score") >= quality_model.CUT).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id.
+
+    Repeated rows of that document become one. Documents without an id can't be named as
+    the copy of another one and stay, equal texts as one.
+    """
+    groups = simhash.near_duplicates(docs, words_per_shingle=3, max_bits=2)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = first.union(spark.range(1).select(F.lit(None).cast("long").alias("_id")))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data; ``n_chars`` follows the text."""
+    done = pii.with_surrogates(docs, count_col="_entities")
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.packed(docs, bpe.vocabulary_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_by_rules),
+    ("quality_classifier", keep_by_model),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("pii", replace_personal_data),
+    ("best_fit_packing", pack),
+]
 
 #: Its stages are not SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
