@@ -20,8 +20,12 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_by_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as good; it learns from the labels of these documents."""
-    scored = quality_model.with_score(docs, table(spark, sf_dir, "labels"), out_col="_score")
+    """Documents that the classifier predicts as good.
+
+    It learns from all labelled documents, since few bad ones are left among ``docs``.
+    """
+    labels, examples = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    scored = quality_model.with_score(docs, labels, out_col="_score", examples=examples)
     return scored.where(F.col("_score") >= quality_model.CUT).select(*docs.columns)
 
 

@@ -281,13 +281,14 @@ def with_score(
     text_col: str = "text",
     label_col: str = "quality",
     out_col: str = "quality_score",
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the probability ``out_col`` that a text is of good quality.
 
-    Labels whose id is held out (``crc32`` of the id as text modulo 4 is 2) are not learned.
+    The labelled texts are looked up in ``examples``, by default in ``docs``. Labels whose id is held out (``crc32`` of the id as text modulo 4 is 2) are not learned.
     Equal texts get equal scores, empty and null ones too; other columns stay as they are.
     """
-    model = train(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col)
+    model = train(docs if examples is None else examples, labels.where(~held_out(id_col)), id_col, text_col, label_col)
     return docs.withColumn(out_col, score(model, text_col))
 
 
