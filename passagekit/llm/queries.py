@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, packing, pii, quality_model, quality_rules, simhash
+from passagekit.llm import bpe, packing, pii, quality_model, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_rules": quality_rules.query,
     "op4_bpe": bpe.query,
     "op5_quality_classifier": quality_model.query,
+    "op6_exact_top_k": topk.query,
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS = {
+    "op6_exact_top_k": topk.CHECK,
+}
