@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, chat, packing, pii, quality_model, quality_rules, simhash, topk
+from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op5_quality_classifier": quality_model.query,
     "op6_exact_top_k": topk.query,
+    "op7_html_extraction": html_text.query,
     "op8_chat_formatting": chat.query,
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 CHECKS = {
     "op6_exact_top_k": topk.CHECK,
+    "op7_html_extraction": html_text.query,
     "op8_chat_formatting": chat.CHECK,
 }
