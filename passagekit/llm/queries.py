@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, topk
+from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, suffix_tree, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_suffix_tree_scores": suffix_tree.query,
     "op4_bpe": bpe.query,
     "op5_quality_classifier": quality_model.query,
     "op6_exact_top_k": topk.query,
