@@ -113,7 +113,7 @@ class Model:
 
 
 def _bins(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    return np.searchsorted(limits, values, side="right")
+    return np.searchsorted(limits, values, side="left")
 
 
 def _probability(total: np.ndarray) -> np.ndarray:
@@ -121,13 +121,16 @@ def _probability(total: np.ndarray) -> np.ndarray:
 
 
 def _limits(values: np.ndarray, bins: int) -> np.ndarray:
-    """Bin limits midway between neighbouring distinct values, near the quantiles."""
+    """Bin limits: midway between few distinct values, else at quantiles.
+
+    Half of those are quantiles of the rows and half of the distinct values, so that a
+    rare tail is seen too.
+    """
     distinct = np.unique(values)
-    if len(distinct) > bins:
-        # Half of the bins by rows and half by distinct values, so that a rare tail is seen too.
-        shares = np.linspace(0, 1, bins // 2 + 1)
-        distinct = np.unique(np.concatenate([np.quantile(values, shares), np.quantile(distinct, shares)]))
-    return (distinct[1:] + distinct[:-1]) / 2
+    if len(distinct) <= bins:
+        return (distinct[1:] + distinct[:-1]) / 2
+    inner = np.linspace(0, 1, bins // 2 + 1)[1:-1]
+    return np.unique(np.concatenate([np.quantile(values, inner), np.quantile(distinct, inner)]))
 
 
 def _gain(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -19,6 +19,5 @@ QUERIES = {
 
 CHECKS = {
     "op6_exact_top_k": topk.CHECK,
-    "op7_html_extraction": html_text.query,
     "op8_chat_formatting": chat.CHECK,
 }
