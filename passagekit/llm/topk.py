@@ -95,17 +95,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     import_on_workers(spark)
-    vectors = saved(vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v"))
+    # Rows are dealt by a number of their own, fixed in the written tables, so that no common id or vector fills a block.
+    number = F.xxhash64(F.monotonically_increasing_id()).alias("number")
+    vectors = saved(vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v", number))
     queries = queries.where("query_id IS NOT NULL AND v IS NOT NULL").groupBy("query_id").agg(F.min("v").alias("v"))
-    queries = saved(queries)
+    queries = saved(queries.select("query_id", "v", number))
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
     query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
 
     def dealt(df: DataFrame, of: str, own: str, n: int, other: str, m: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-        # Rows are dealt by their whole content: one common id or vector doesn't fill a block.
-        number = F.pmod(F.xxhash64(of, "v", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-        return df.select(of, "v", F.size("v").alias("d"), number.alias(own), every)
+        return df.select(of, "v", F.size("v").alias("d"), F.pmod("number", F.lit(n)).cast("int").alias(own), every)
 
     left = dealt(vectors, "vec_id", "block", blocks, "query_block", query_blocks)
     right = dealt(queries, "query_id", "query_block", query_blocks, "block", blocks)

@@ -1,0 +1,87 @@
+"""Detection, and that surrogates are keyed, distinct, consistent and of the same format."""
+
+import re
+
+import pytest
+
+from passagekit.llm import pii
+
+KEYED = pii.Surrogates(b"test")
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "shape"),
+    [
+        ("email", "Anna.68@mail7.example.com", r"[A-Z][a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com"),
+        ("email", "españa.1@x-y.org", r"[^\W\d]{6}\.\d@[a-z]-[a-z]\.org"),
+        ("phone", "+1 (017) 555-7713", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+        ("card", "9807915762804490", r"\d{16}"),
+        ("card", "4111 1111 1111 1111", r"\d{4} \d{4} \d{4} \d{4}"),
+        ("ipv4", "97.51.17.173", r"(?:\d{1,3}\.){3}\d{1,3}"),
+        ("ssn", "123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+        ("secret", "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", r"[0-9a-f]{40}"),
+        ("iban", "DE89 3704 0044 0532 0130 00", r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d"),
+        ("name", "Юрий Петров", r"[А-Я][а-яё]+ [А-Я][а-яё]{5}"),
+    ],
+)
+def test_surrogates_keep_type_and_format(kind, value, shape):
+    other = KEYED.of(kind, value)
+    assert re.fullmatch(shape, other) and other != value
+    assert other == pii.Surrogates(b"test").of(kind, value) != pii.Surrogates(b"other").of(kind, value)
+    if kind != "name":
+        assert [e[0] for e in pii.detect(f"so {'token = ' if kind == 'secret' else ''}{other}, then")] == [kind]
+
+
+def test_shapes_are_permuted_without_fixed_points():
+    for size in (2, 3, 10, 97, 1000):
+        found = [KEYED.number(x, size, "t") for x in range(size)]
+        assert sorted(found) == list(range(size)) and all(x != y for x, y in enumerate(found))
+    assert KEYED.number(10**60, 10**61, "t") < 10**61
+
+
+def test_check_digits_stay_right_or_wrong():
+    for body in ("411111111111111", "980791576280449"):
+        for check in range(10):
+            other = KEYED.of("card", f"{body}{check}")
+            assert (pii.luhn(other[:-1]) - int(other[-1])) % 10 == (pii.luhn(body) - check) % 10
+
+
+def test_given_names_keep_gender_and_script():
+    for group, names in pii.GIVEN.items():
+        names = names.split()
+        assert sorted(map(KEYED.known_name, names)) == sorted(names), group
+        assert all(KEYED.known_name(n) != n for n in names)
+    assert KEYED.of("name", "Julia Müller").split()[1] == KEYED.of("name", "Müller")
+
+
+def test_everything_is_detected_and_clean_text_is_left():
+    text = "Mr. James Carter, j.carter@x.org, token: abcdefghijklmnop1234; 212-555-0123; 10.0.0.1.\nFrau Müller paid with 4111-1111-1111-1111, 999.1.1.1 and 1234."
+    assert [k for k, _, _ in pii.detect(text)] == ["name", "email", "secret", "phone", "ipv4", "name", "card"]
+    for clean in ("Licensed under CC BY-NC 4.0.", "version 3.", "Then the token was lost @ home", "Ines. Then 12 of 1000", "@", "a@b", "1.2.3.4.5", "x" * 100_000 + "@"):
+        assert pii.detect(clean) == []
+
+
+def test_documents_lose_every_value_and_nothing_else(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    rows = pii.query(spark, sf_dir).collect()
+    assert len(rows) == len(before) and sum(r.n_entities for r in rows) > 20
+    for r in rows:
+        found = pii.detect(before[r.doc_id])
+        assert r.n_entities == len(found)
+        assert all(before[r.doc_id][s:e] not in r.text for _, s, e in found)
+        if not found:
+            assert r.text == before[r.doc_id]
+        assert not re.search(r"\d{16}|\S@\S", before[r.doc_id]) or found
+    assert pii.collisions(docs).collect() == []
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "a"), (1, "", "b"), (2, "mail a.b@c.de now", None), (2, "mail a.b@c.de now", None), (3, "word " * 100_000 + "a.b@c.de", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_entities string")
+    found = pii.with_surrogates(docs).collect()
+    assert sorted((r.n_entities for r in found)) == [0, 0, 1, 1, 1]
+    assert {r.text for r in found if r.doc_id == 1} == {None, ""}
+    assert len({r.text for r in found if r.doc_id == 2}) == 1
+    assert pii.with_surrogates(docs.limit(0)).collect() == [] == pii.collisions(docs.limit(0)).collect()
