@@ -226,7 +226,8 @@ def with_verdict(
     """
     import_on_workers(docs.sparkSession)
     ids = trusted_ids.select(F.col(id_col).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    marked = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_trusted"), "left")
+    # Both grow with the corpus, so neither is broadcast; only ids are held in hash tables and no text is sorted.
+    marked = docs.select(id_col, text_col).join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("_trusted"), "left")
     weights = ratios(multinomials(marked, F.col("_trusted").isNotNull(), text_col))
     return docs.withColumn(out_col, verdict(text_col, weights, threshold))
 
