@@ -12,6 +12,8 @@ COMPACT_WKT_STEPS = ((" (", "("), (") ", ")"), (" ,", ","), (", ", ","))
 
 # Outer brackets of a polygon text; group 1 holds its bracketed rings.
 POLYGON_TEXT = r"(?is)^\s*POLYGON\s*(?:Z\s*)?\(\s*(\(.*\))\s*\)\s*$"
+# The same of a multipolygon; group 1 holds its bracketed polygons.
+MULTIPOLYGON_TEXT = r"(?is)^\s*MULTIPOLYGON\s*(?:Z\s*)?\(\s*(\(\s*\(.*\)\s*\))\s*\)\s*$"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,15 +28,10 @@ def compact_wkt(wkt: Column) -> Column:
     return wkt
 
 
-def polygon_rings(wkt: Column) -> Column:
-    """Rings of a WKT polygon as array<array<array<double>>>, outer ring first.
-
-    Null for anything that is not a polygon whose points all have two or three
-    numbers.
-    """
-    body = F.regexp_extract(wkt, POLYGON_TEXT, 1)
-    ring_texts = F.split(F.regexp_replace(body, r"^\(|\)$", ""), r"\)\s*,\s*\(")
-    rings = F.transform(
+def _rings(body: Column) -> Column:
+    """Rings of a text of bracketed rings; what is not a number is null."""
+    ring_texts = F.split(F.regexp_replace(body, r"^\s*\(|\)\s*$", ""), r"\)\s*,\s*\(")
+    return F.transform(
         ring_texts,
         lambda ring: F.transform(
             F.split(ring, ","),
@@ -44,7 +41,11 @@ def polygon_rings(wkt: Column) -> Column:
             ),
         ),
     )
-    sound = lambda rings: F.forall(
+
+
+def _fault(rings: Column) -> Column:
+    """What is wrong with rings, null if nothing is."""
+    pointed = F.forall(
         rings,
         lambda ring: F.forall(
             ring,
@@ -52,14 +53,58 @@ def polygon_rings(wkt: Column) -> Column:
             & F.forall(point, lambda number: number.isNotNull()),
         ),
     )
-    return bound(rings, lambda rings: F.when(sound(rings), rings))
+    long_enough = F.forall(rings, lambda ring: F.size(ring) >= 4)
+    closed = F.forall(
+        rings, lambda ring: F.get(ring, F.lit(0)).eqNullSafe(F.get(ring, F.size(ring) - 1))
+    )
+    return (
+        F.when(~pointed, F.lit("a point does not have two or three numbers"))
+        .when(~long_enough, F.lit("a ring has fewer than four points"))
+        .when(~closed, F.lit("a ring is not closed"))
+    )
+
+
+def _polygons(wkt: Column) -> Column:
+    """The polygons of a multipolygon text, each an array of rings."""
+    body = F.regexp_replace(F.regexp_extract(wkt, MULTIPOLYGON_TEXT, 1), r"^\s*\(|\)\s*$", "")
+    return F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), _rings)
+
+
+def polygon_rings(wkt: Column) -> Column:
+    """Rings of a WKT polygon as array<array<array<double>>>, outer ring first.
+
+    Null for anything that is not a polygon of closed rings whose points all have two
+    or three numbers; :func:`wkt_fault` says why.
+    """
+    rings = _rings(F.regexp_extract(wkt, POLYGON_TEXT, 1))
+    return bound(rings, lambda rings: F.when(_fault(rings).isNull(), rings))
+
+
+def multipolygon_rings(wkt: Column) -> Column:
+    """Polygons of a WKT multipolygon, each an array of rings; null for anything else."""
+    return bound(
+        _polygons(wkt), lambda polygons: F.when(_fault(F.flatten(polygons)).isNull(), polygons)
+    )
+
+
+def wkt_fault(wkt: Column) -> Column:
+    """Why a WKT text is not read as a polygon or multipolygon, null if it is."""
+    return (
+        F.when(wkt.isNull() | (F.trim(wkt) == ""), F.lit("it is empty"))
+        .when(F.rlike(wkt, F.lit(POLYGON_TEXT)), _fault(_rings(F.regexp_extract(wkt, POLYGON_TEXT, 1))))
+        .when(F.rlike(wkt, F.lit(MULTIPOLYGON_TEXT)), _fault(F.flatten(_polygons(wkt))))
+        .otherwise(F.lit("it is neither POLYGON nor MULTIPOLYGON"))
+    )
 
 
 def number_text(number: Column) -> Column:
     """Shortest plain decimal text of a coordinate: ``10``, ``-47.47``, ``0.0001``."""
-    plain = F.when(
-        (F.abs(number) >= 1e-3) | (number == 0), number.cast("string")
-    ).otherwise(F.regexp_replace(number.cast("decimal(38,30)").cast("string"), "0+$", ""))
+    # Between these the text of a double has no exponent.
+    plain = (
+        F.when((F.abs(number) >= 1e-3) & (F.abs(number) < 1e7) | (number == 0), number.cast("string"))
+        .when(F.abs(number) < 1, F.regexp_replace(number.cast("decimal(38,30)").cast("string"), "0+$", ""))
+        .otherwise(F.regexp_replace(number.cast("decimal(38,15)").cast("string"), "0+$", ""))
+    )
     return F.regexp_replace(F.regexp_replace(plain, r"\.0*$", ""), "^-0$", "0")
 
 

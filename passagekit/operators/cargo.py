@@ -16,15 +16,33 @@ JOIN_DATES = ("unload_date", "load_date")
 
 PASSAGE_COLUMNS = ("vessel_key", "geofence", "exit_heading", "exit_direction", "passage_time")
 
-# Column order of the matched table.
+# Columns of the matched table, in the order that its readers know.
 MATCHED_COLUMNS = (
     "vessel_key",
     "geofence",
     "exit_heading",
     "exit_direction",
     "date_diff",
+    "unload_region",
+    "unload_country",
+    "unload_port",
+    "unload_terminal",
+    "load_date",
+    "unload_date",
+    "load_region",
+    "load_country",
+    "load_port",
+    "load_terminal",
     "passage_time",
-    *CARGO_COLUMNS,
+    "group",
+    "group_product",
+    "category",
+    "grade",
+    "quantity",
+    "vessel_type",
+    "vessel_class",
+    "cargo_status",
+    "via_geofence",
 )
 
 
@@ -46,15 +64,16 @@ def match_cargo(
     of one vessel at the same moment collapse unless ``geofence`` is added.
     Equal distances are settled by ``cargo_tie``, equal passages by
     ``passage_tie``, nulls first, and beyond these by all output columns in
-    order, so the result does not depend on row order. ``between`` names the
-    first and last passage date if they are known, to leave out cargo at the
-    scan that cannot match.
+    order, so the result does not depend on row order. ``between`` limits the
+    passages to those of its first to last date; cargo that these cannot reach is
+    left out at the scan.
 
     The distance depends on calendar days only. Both sides are first reduced to
     their distinct vessel days, which the calendar bounds however many rows a
     vessel has, and one pass over these days in each direction finds the
     nearest cargo day without comparing pairs. Whole rows are only ranked
-    within one vessel day, after each task has kept its own best.
+    within one vessel day that some passage needs, after each task has kept its own
+    best.
     """
     if date_col not in JOIN_DATES:
         raise ValueError(f"unknown date column {date_col!r}, expected one of {JOIN_DATES}")
@@ -63,6 +82,11 @@ def match_cargo(
 
     candidates = cargo.where(F.col("vessel_imo").isNotNull() & F.col(date_col).isNotNull())
     if between is not None:
+        passages = passages.where(
+            within_dates(
+                F.col("passage_time"), passages.schema["passage_time"].dataType, *map(as_date, between)
+            )
+        )
         reach = dt.timedelta(days=max_days)
         candidates = candidates.where(
             within_dates(
@@ -76,15 +100,21 @@ def match_cargo(
     cargo_days = candidates.select(
         F.col("vessel_imo").alias("vessel_key"), cargo_day.alias("day")
     ).distinct()
+    others = [name for name in PASSAGE_COLUMNS if name not in partition_by]
+    passage_order = list(dict.fromkeys([*passage_tie, *others]))
+    single = _first_per_group(passages, partition_by, passage_order)
     passage_days = (
-        passages.select("vessel_key", F.to_date("passage_time").alias("day")).dropna().distinct()
+        single.select("vessel_key", F.to_date("passage_time").alias("day")).dropna().distinct()
     )
     nearest = _nearest_days(passage_days, cargo_days, max_days)
 
     cargo_order = list(dict.fromkeys([*cargo_tie, *CARGO_COLUMNS]))
-    best_of_day = _first_per_group(
-        candidates.withColumn("cargo_day", cargo_day), ["vessel_imo", "cargo_day"], cargo_order
+    # Wide rows meet the days that are needed before any of them is sorted.
+    needed = nearest.select(F.col("vessel_key").alias("vessel_imo"), F.col("day").alias("cargo_day"))
+    reached = candidates.withColumn("cargo_day", cargo_day).join(
+        needed.distinct(), ["vessel_imo", "cargo_day"], "left_semi"
     )
+    best_of_day = _first_per_group(reached, ["vessel_imo", "cargo_day"], cargo_order)
     # Two days tie if cargo lies equally far before and after the passage.
     winners = _first_per_group(
         nearest.join(
@@ -95,10 +125,7 @@ def match_cargo(
         cargo_order,
     ).select("vessel_key", "passage_day", "gap", *[f"`{name}`" for name in CARGO_COLUMNS])
 
-    others = [name for name in PASSAGE_COLUMNS if name not in partition_by]
-    passage_order = list(dict.fromkeys([*passage_tie, *others]))
-    single = _first_per_group(passages, partition_by, passage_order).alias("single")
-    winners = winners.alias("winners")
+    single, winners = single.alias("single"), winners.alias("winners")
     matched = single.join(
         winners,
         (F.col("single.vessel_key") == F.col("winners.vessel_key"))

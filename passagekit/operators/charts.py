@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import MapType, NumericType
 
-from passagekit.operators.quantiles import SKETCH_ACCURACY, exact_quantiles, value_weights
+from passagekit.operators.quantiles import (
+    SALT,
+    SKETCH_ACCURACY,
+    exact_quantiles,
+    for_all_salts,
+    salted,
+    value_weights,
+)
 
 HISTOGRAM_BINS = 20
 QUARTILES = (0.25, 0.5, 0.75)
@@ -23,16 +30,29 @@ def _is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NumericType)
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], null_label: str | None) -> DataFrame:
-    """Rows with all keys present; a label turns null keys into a group of text."""
-    if null_label is None:
-        return df.dropna(subset=list(keys))
+#: Text for the null keys of a column: one for the x column, or one for each column named.
+NullLabel = str | Mapping[str, str] | None
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], null_label: NullLabel) -> DataFrame:
+    """Rows with all keys present; a label turns a column into text, its nulls into a group.
+
+    A plain label belongs to the first key only; null keys without a label are left out.
+    """
+    labels = {keys[0]: null_label} if isinstance(null_label, str) else dict(null_label or {})
+    df = df.dropna(subset=[key for key in keys if key not in labels])
     for key in keys:
-        if df.schema[key].nullable:
-            df = df.withColumn(key, F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(null_label)))
+        if key in labels:
+            df = df.withColumn(key, F.coalesce(_q(key).cast("string"), F.lit(labels[key])))
     return df
 
 
+def _finite(value: Column) -> Column:
+    """A number as double, null if it is not a finite number."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+
+
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -43,7 +63,7 @@ def chart_agg(
     y: str | None = None,
     agg: str = "count",
     color: str | None = None,
-    null_label: str | None = None,
+    null_label: NullLabel = None,
 ) -> DataFrame:
     """``agg`` of ``y`` per ``x`` and optional ``color``, ordered by these keys.
 
@@ -72,41 +92,54 @@ def chart_agg(
     return result.orderBy(*[_q(key) for key in keys])
 
 
-def value_counts(df: DataFrame, x: str, null_label: str | None = None) -> DataFrame:
+def value_counts(df: DataFrame, x: str, null_label: NullLabel = None) -> DataFrame:
     """Rows per value of ``x``, most frequent first, ties by value."""
     return (
         _keyed(df, [x], null_label).groupBy(_q(x)).count().orderBy(F.desc("count"), _q(x))
     )
 
 
-def value_shares(df: DataFrame, x: str, null_label: str | None = None) -> DataFrame:
+def value_shares(df: DataFrame, x: str, null_label: NullLabel = None) -> DataFrame:
     """Value counts with each value's share of all counted rows."""
     counts = _keyed(df, [x], null_label).groupBy(_q(x)).count()
     total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("share", F.col("count") / total).orderBy(F.desc("count"), _q(x))
 
 
-def series_values(df: DataFrame, color: str, null_label: str | None = None) -> DataFrame:
+def series_values(df: DataFrame, color: str, null_label: NullLabel = None) -> DataFrame:
     """Distinct values of the colour column, one series each."""
     return _keyed(df, [color], null_label).select(_q(color)).distinct().orderBy(_q(color))
 
 
-def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+def histogram(
+    df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, null_label: NullLabel = None
+) -> DataFrame:
     """Rows per bin of a numeric column, in ``bins`` equal widths from least to greatest.
 
     Bins run from 1; each one is closed below and the last one also above.
-    Every bin has a row, empty ones with count 0. A column that is not numeric
-    gives :func:`value_counts`.
+    Every bin has a row, empty ones with count 0. Missing and infinite numbers
+    are in no bin. A column that is not numeric gives :func:`value_counts`.
+    The table is reduced to its distinct values once; range and bins come from
+    these.
     """
     if not _is_numeric(df, x):
-        return value_counts(df, x)
-    values = df.select(_q(x).cast("double").alias("v")).where(F.col("v").isNotNull())
+        return value_counts(df, x, null_label)
+    values = (
+        df.select(_finite(_q(x)).alias("v"))
+        .where(F.col("v").isNotNull())
+        .groupBy("v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     lo, spread = F.col("span.lo"), F.col("span.hi") - F.col("span.lo")
     place = F.when(spread == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col("v") - lo) * bins / F.nullif(spread, F.lit(0.0))) + 1, F.lit(bins))
     )
-    counts = values.withColumn("span", span).groupBy(place.cast("int").alias("bin")).count()
+    counts = (
+        values.withColumn("span", span)
+        .groupBy(place.cast("int").alias("bin"))
+        .agg(F.sum("n").alias("count"))
+    )
     return (
         df.sparkSession.range(1, bins + 1)
         .select(F.col("id").cast("int").alias("bin"), span.alias("span"))
@@ -128,7 +161,7 @@ def box_summary(
     y: str,
     color: str | None = None,
     approximate: bool = False,
-    null_label: str | None = None,
+    null_label: NullLabel = None,
 ) -> DataFrame:
     """Box-plot numbers of ``y`` per ``x`` and optional ``color``.
 
@@ -142,7 +175,9 @@ def box_summary(
     names = [x] if color is None or color == x else [x, color]
     keys = [f"_key{i}" for i in range(len(names))]
     keyed = _keyed(df, names, null_label).select(
-        *[_q(name).alias(key) for name, key in zip(names, keys)], _q(y).cast("double").alias("y")
+        *[_q(name).alias(key) for name, key in zip(names, keys)],
+        # Not a number is missing, as a null is.
+        F.nanvl(_q(y).cast("double"), F.lit(None).cast("double")).alias("y"),
     )
     if approximate:
         quartiles = (
@@ -153,10 +188,10 @@ def box_summary(
         )
     else:
         quartiles = exact_quantiles(keyed, keys, "y", QUARTILES)
-    weights = value_weights(keyed, keys, "y").alias("weights")
-    quartiles = quartiles.alias("quartiles")
+    weights = salted(value_weights(keyed, keys, "y")).alias("weights")
+    quartiles = for_all_salts(quartiles).alias("quartiles")
     same_group = reduce(
-        and_, [F.col(f"weights.{key}") == F.col(f"quartiles.{key}") for key in keys]
+        and_, [F.col(f"weights.{key}") == F.col(f"quartiles.{key}") for key in (*keys, SALT)]
     )
     reach = (F.col("q2") - F.col("q0")) * WHISKER_REACH
     value = F.col("y")
@@ -178,8 +213,16 @@ def box_summary(
     )
 
 
-def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
-    """The points of a scatter chart, one per row of the table."""
+def scatter_points(
+    df: DataFrame, x: str, y: str, color: str | None = None, null_label: NullLabel = None
+) -> DataFrame:
+    """The points of a scatter chart, one per row of the table.
+
+    Rows with nulls stay; in a column with a label its nulls become that text.
+    """
+    labels = {x: null_label} if isinstance(null_label, str) else dict(null_label or {})
+    for name, label in labels.items():
+        df = df.withColumn(name, F.coalesce(_q(name).cast("string"), F.lit(label)))
     return df.select(*[_q(name) for name in dict.fromkeys([x, y, color]) if name is not None])
 
 
@@ -190,7 +233,7 @@ def chart_data(
     y: str | None = None,
     agg: str = "count",
     color: str | None = None,
-    null_label: str | None = None,
+    null_label: NullLabel = None,
 ) -> DataFrame:
     """The reduction that belongs to a chart kind.
 
@@ -209,11 +252,11 @@ def chart_data(
     if kind == "pie":
         return value_shares(df, x, null_label)
     if kind == "histogram":
-        return histogram(df, x)
+        return histogram(df, x, null_label=null_label)
     if y is None:
         raise ValueError(f"a {kind} chart needs a y column")
     if kind == "scatter":
-        return scatter_points(df, x, y, color)
+        return scatter_points(df, x, y, color, null_label)
     return box_summary(df, x, y, color, null_label=null_label)
 
 
@@ -226,12 +269,21 @@ def table_page(
 ) -> DataFrame:
     """One page of a table after an optional filter and multi-column sort.
 
-    ``sort`` lists columns with ``asc`` or ``desc``; nulls come last. To reach
+    ``sort`` lists columns with ``asc`` or ``desc``; nulls come last. All other
+    columns that can be ordered follow, so a page is the same in every run. To reach
     far pages of a long table filter on the last row seen instead of a page
     number, since every row up to the page's end has to be ordered.
     """
     rows = df if filter is None else df.where(filter)
-    if sort:
-        order = {"asc": F.asc_nulls_last, "desc": F.desc_nulls_last}
-        rows = rows.orderBy(*[order[direction](_q(name)) for name, direction in sort])
+    order = {"asc": F.asc_nulls_last, "desc": F.desc_nulls_last}
+    sorted_by = {name for name, _ in sort}
+    others = [
+        field.name
+        for field in rows.schema.fields
+        if field.name not in sorted_by and not isinstance(field.dataType, MapType)
+    ]
+    rows = rows.orderBy(
+        *[order[direction](_q(name)) for name, direction in sort],
+        *[F.asc_nulls_last(_q(name)) for name in others],
+    )
     return rows.offset(page * size).limit(size)

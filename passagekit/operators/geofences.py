@@ -9,8 +9,10 @@ from passagekit.functions.geometry import (
     compact_wkt,
     feature_struct,
     geometry_struct,
+    multipolygon_rings,
     polygon_rings,
     rings_to_wkt,
+    wkt_fault,
 )
 from passagekit.plans.parts import bounded_parts
 from passagekit.sources.geojson import geofence_payload
@@ -49,15 +51,22 @@ def strip(text: Column) -> Column:
 
 
 def checked_geofences(geofences: DataFrame) -> DataFrame:
-    """Trim the required fields and add ``reason``, null where all are filled."""
+    """Trim the required fields and add ``reason``, null where nothing is wrong.
+
+    A row is rejected if a field is missing, or if its polygon cannot be read.
+    """
     for name in REQUIRED_FIELDS:
         geofences = geofences.withColumn(name, strip(F.col(name)))
     empty = [
         F.when(F.coalesce(F.col(name), F.lit("")) == "", F.lit(name)) for name in REQUIRED_FIELDS
     ]
     missing = F.concat_ws(", ", *empty)
+    fault = wkt_fault(F.col("wkt_coordinates"))
     return geofences.withColumn(
-        "reason", F.when(missing != "", F.concat(F.lit("Missing required fields: "), missing))
+        "reason",
+        F.when(missing != "", F.concat(F.lit("Missing required fields: "), missing)).otherwise(
+            F.concat(F.lit("Unreadable polygon: "), fault)
+        ),
     )
 
 
@@ -84,16 +93,23 @@ def geofence_features(geofences: DataFrame, wkt: str = "wkt_coordinates") -> Dat
     """Registry rows with ``feature``, a GeoJSON feature as JSON text.
 
     Its properties are the port as ``name`` and ``tooltip``, and the geofence
-    name. Rows whose polygon cannot be read have a null feature.
+    name. Polygons and multipolygons are drawn; other rows have a null feature and
+    say in ``feature_fault`` why.
     """
     port, name = F.col("port_name"), F.col("geofence_name")
-    feature = feature_struct(F.col("geometry"), name=port, tooltip=port, geofence_name=name)
-    return wkt_to_geojson(geofences, wkt).withColumn(
-        "feature",
-        F.when(
-            F.col("geometry").isNotNull(), F.to_json(feature, {"ignoreNullFields": "false"})
-        ),
-    )
+
+    def text(geometry: Column) -> Column:
+        feature = feature_struct(geometry, name=port, tooltip=port, geofence_name=name)
+        return F.when(geometry.isNotNull(), F.to_json(feature, {"ignoreNullFields": "false"}))
+
+    several = geometry_struct("MultiPolygon", multipolygon_rings(F.col(wkt)))
+    drawn = wkt_to_geojson(geofences, wkt).withColumn("_several", several)
+    return drawn.withColumns(
+        {
+            "feature": F.coalesce(text(F.col("geometry")), text(F.col("_several"))),
+            "feature_fault": wkt_fault(F.col(wkt)),
+        }
+    ).drop("_several")
 
 
 def feature_collections(

@@ -13,10 +13,28 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 
 
+# Parts into which the distinct values of a group are dealt for joins on the group.
+SALTS = 32
+SALT = "_salt"
+
+
+def salted(weights: DataFrame, y: str = "y") -> DataFrame:
+    """Values with the part of their group that they are dealt to."""
+    return weights.withColumn(SALT, F.pmod(F.xxhash64(y), F.lit(SALTS)).cast("int"))
+
+
+def for_all_salts(groups: DataFrame) -> DataFrame:
+    """A table of one row per group, repeated for every part of it."""
+    return groups.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def value_weights(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
-    """Distinct values per group as doubles with their number of rows ``n``."""
+    """Distinct values per group as doubles with their number of rows ``n``.
+
+    Null and not a number are left out.
+    """
     return (
-        df.where(F.col(y).isNotNull())
+        df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
         .groupBy(*by, F.col(y).cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -35,15 +53,16 @@ def exact_quantiles(
     ``p * (rows - 1)`` of the sorted group is found in two steps. A mergeable
     sketch gives each quantile a lower and an upper bracket that surely enclose
     it; rows below the bracket are only counted. The values inside it, a few
-    parts in ``accuracy`` of the group, are ranked exactly. So no task sorts or
-    holds a whole group. Group columns must not be named ``y``, ``n``, ``i``,
-    ``position`` or ``slot``.
+    parts in ``accuracy`` of the group, are ranked exactly. Values meet the
+    brackets of their group in ``SALTS`` parts, so that one hot group is no single
+    task; only the values inside a bracket come together. Group columns must not be named ``y``, ``n``, ``i``,
+    ``position``, ``slot`` or ``_salt``.
     """
     if not by:
         raise ValueError("exact_quantiles needs at least one group column")
     slack = 4.0 / accuracy
     df = df.dropna(subset=list(by))
-    present = df.where(F.col(y).isNotNull()).select(*by, F.col(y).cast("double").alias("y"))
+    present = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).select(*by, F.col(y).cast("double").alias("y"))
     low = [max(p - slack, 0.0) for p in probs]
     high = [min(p + slack, 1.0) for p in probs]
     sketch = present.groupBy(*by).agg(
@@ -68,10 +87,11 @@ def exact_quantiles(
                 for i, p in enumerate(probs)
             ]
         ).alias("targets"),
-    ).alias("targets")
-    weights = value_weights(df, by, y).alias("weights")
+    )
+    targets = for_all_salts(targets).alias("targets")
+    weights = salted(value_weights(df, by, y)).alias("weights")
     same_group = reduce(
-        and_, [F.col(f"weights.{name}") == F.col(f"targets.{name}") for name in by]
+        and_, [F.col(f"weights.{name}") == F.col(f"targets.{name}") for name in (*by, SALT)]
     )
     value, target = F.col("y"), F.col("target")
     below = F.coalesce(value < target["low"], F.lit(False))

@@ -20,6 +20,16 @@ MAX_POINTS_PER_ROW = 100_000
 POSITION_COLUMNS = ("vessel_key", "latitude", "longitude", "dt_pos_utc")
 
 
+def _of_dates(passages: DataFrame, between: tuple | None) -> DataFrame:
+    if between is None:
+        return passages
+    return passages.where(
+        within_dates(
+            F.col("passage_time"), passages.schema["passage_time"].dataType, *map(as_date, between)
+        )
+    )
+
+
 def _within_reach(positions: DataFrame, max_days: int, between: tuple | None) -> DataFrame:
     if between is None:
         return positions
@@ -43,13 +53,13 @@ def positions_near_passages(
 ) -> DataFrame:
     """Every position within ``max_days`` of a passage of the same vessel.
 
-    A position near several passages appears once for each. ``between`` names
-    the first and last passage date if they are known; positions that no such
-    passage can reach are then left out at the scan.
+    A position near several passages appears once for each. ``between`` limits
+    the passages to those of its first to last date; positions that these cannot
+    reach are left out at the scan.
     """
     near = day_band_join(
         _within_reach(positions, max_days, between).select(*POSITION_COLUMNS, *keep),
-        passages.select("vessel_key", "geofence", "passage_time"),
+        _of_dates(passages, between).select("vessel_key", "geofence", "passage_time"),
         "vessel_key",
         "dt_pos_utc",
         "passage_time",
@@ -81,7 +91,8 @@ def counted_positions(
     first = F.struct(F.date_sub(day, max_days).alias("day"), F.lit(1).alias("step"))
     past = F.struct(F.date_add(day, max_days + 1).alias("day"), F.lit(-1).alias("step"))
     steps = (
-        passages.where(F.col("passage_time").isNotNull())
+        _of_dates(passages, between)
+        .where(F.col("passage_time").isNotNull())
         .select(*line, F.inline(F.array(first, past)))
         .groupBy(*line, "day")
         .agg(F.sum("step").alias("step"))
@@ -116,12 +127,15 @@ def trajectory_lines(
     """One line per vessel: its coordinates and times in time order.
 
     Output columns are ``by``, ``part``, ``n_points``, ``coordinates`` (array of
-    [lon, lat]) and ``dates``. A line of up to ``max_points`` points is one row
-    with part 0. A longer one continues in parts 1, 2, ... of ``max_points``
-    each, so that no row and no task has to hold an unbounded line. Points
+    [lon, lat]) and ``dates``. A line is drawn in parts of at most ``max_points``
+    (two or more) points, so that no row and no task has to hold an unbounded line.
+    Each part begins with the last point of the part before, so the parts join up; only
+    a line of one point has a part of one point. Points
     without a key in ``by`` belong to no line. ``copies`` names a column that
     says how often a point occurs, see :func:`counted_positions`.
     """
+    if max_points < 2:
+        raise ValueError(f"a part of a line needs two points at least, not {max_points}")
     keyed = points.dropna(subset=list(by))
     parts = bounded_parts(
         keyed,
@@ -131,6 +145,7 @@ def trajectory_lines(
         cell=F.coalesce(F.date_trunc("hour", F.col("dt_pos_utc")), F.lit(dt.datetime(1, 1, 1))),
         max_rows=max_points,
         copies=None if copies is None else F.col(copies),
+        overlap=1,
     )
     ordered = F.sort_array(
         F.collect_list(F.struct("dt_pos_utc", "longitude", "latitude", "copies"))
@@ -156,15 +171,33 @@ def trajectory_lines(
                 "_steps", lambda step: F.date_format(step["dt_pos_utc"], time_format)
             ).alias("dates"),
         )
+        # The last point of a full part alone is no part of its own.
+        .where((F.col("part") == 0) | (F.col("n_points") > 1))
     )
 
 
-def line_headings(lines: DataFrame, coordinates: str = "coordinates") -> DataFrame:
+def line_ends(parts: DataFrame, by: Sequence[str] = ("vessel_key",)) -> DataFrame:
+    """One row per line of :func:`trajectory_lines`: ``n_points`` and ``ends``, its first and last point."""
+    at = lambda place: F.get("coordinates", place)
+    ends = parts.groupBy(*by).agg(
+        # Parts share the point where they meet.
+        (F.sum("n_points") - F.count(F.lit(1)) + 1).cast("int").alias("n_points"),
+        F.min_by(at(F.lit(0)), "part").alias("_first"),
+        F.max_by(at(F.size("coordinates") - 1), "part").alias("_last"),
+    )
+    points = F.when(F.col("n_points") > 1, F.array("_first", "_last")).otherwise(F.array("_first"))
+    return ends.select(*by, "n_points", points.alias("ends"))
+
+
+def line_headings(
+    lines: DataFrame, coordinates: str = "coordinates", points: str | None = None
+) -> DataFrame:
     """Heading from the first to the last point of each line, with its report texts.
 
     Adds ``heading``, ``heading_text`` (one decimal), ``start_text`` and
     ``end_text`` (six decimals) and ``total_points``. They are null for a line
-    of fewer than two points.
+    of fewer than two points. For lines in parts take the ``ends`` of
+    :func:`line_ends` as coordinates and its ``n_points`` as ``points``.
     """
     line = F.col(coordinates)
     first, last = F.get(line, F.lit(0)), F.get(line, F.size(line) - 1)
@@ -181,5 +214,5 @@ def line_headings(lines: DataFrame, coordinates: str = "coordinates") -> DataFra
         .withColumn("heading_text", F.when(drawable, F.format_string("%.1f", "heading")))
         .withColumn("start_text", F.when(drawable, point_text(first)))
         .withColumn("end_text", F.when(drawable, point_text(last)))
-        .withColumn("total_points", F.when(drawable, F.size(line)))
+        .withColumn("total_points", F.when(drawable, F.size(line) if points is None else F.col(points)))
     )

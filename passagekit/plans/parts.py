@@ -15,12 +15,14 @@ def bounded_parts(
     cell: Column,
     max_rows: int,
     copies: Column | None = None,
+    overlap: int = 0,
 ) -> DataFrame:
     """One row per distinct (``by``, ``order``) and part, with its copies in that part.
 
     Within each ``by`` group the rows are numbered in ``order``; part ``p`` holds
     numbers ``p * max_rows`` up to the next multiple. Output columns are ``by``,
-    ``order``, ``part`` and ``copies``.
+    ``order``, ``part`` and ``copies``. With an ``overlap`` each part begins with that many
+    of the last rows of the part before, and still holds ``max_rows`` at most.
 
     ``cell`` is a coarse version of the leading order column: it must not
     decrease when the order increases, and a group must have a moderate number
@@ -58,8 +60,11 @@ def bounded_parts(
         same_cell = same_cell & (F.col(f"ranked.{name}") == F.col(f"starts.{name}"))
     first = F.col("_first")
     last = F.col("_first") + F.col("copies") - 1
-    part_of = lambda number: F.floor(number / F.lit(max_rows))
-    part_start = F.col("part") * F.lit(max_rows)
+    step = max_rows - overlap
+    part_of = lambda number: F.floor(number / F.lit(step))
+    part_start = F.col("part") * F.lit(step)
+    # The first part that still holds a row, then the last that begins with it.
+    first_part = F.greatest(part_of(first - overlap), F.lit(0)) if overlap else part_of(first)
     return (
         ranked.join(starts, same_cell)
         .select(
@@ -67,7 +72,7 @@ def bounded_parts(
             "copies",
             (F.col("_cell_start") + F.col("_offset")).alias("_first"),
         )
-        .withColumn("part", F.explode(F.sequence(part_of(first), part_of(last))))
+        .withColumn("part", F.explode(F.sequence(first_part, part_of(last))))
         .select(
             *by,
             *order,

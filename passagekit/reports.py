@@ -349,7 +349,7 @@ def lines_of_distinct_points(spark, sf_dir):
                || ']}},"properties":{{"name":' || CAST(vessel_key AS VARCHAR) || ',"dates":['
                || string_agg('"' || strftime(dt_pos_utc, '%Y-%m-%d %H:%M:%S') || '"',
                              ',' ORDER BY dt_pos_utc, longitude, latitude)
-               || ']}}}}' AS feature
+               || '],"part":0}}}}' AS feature
         FROM ({_near(_PASSAGES)}) points GROUP BY vessel_key""",
 )
 def lines_as_geojson(spark, sf_dir):
@@ -518,9 +518,8 @@ def cargo_sum_by_region_color(spark, sf_dir):
         FROM ({_TABLE}) m WHERE vessel_type IS NOT NULL GROUP BY ALL""",
 )
 def cargo_mean_by_date_color(spark, sf_dir):
-    table = _table(spark, sf_dir).where("vessel_type IS NOT NULL")
     means = charts.chart_data(
-        table, "line", "unload_date", "date_diff", "mean", "vessel_type", null_label="NaT"
+        _table(spark, sf_dir), "line", "unload_date", "date_diff", "mean", "vessel_type", null_label="NaT"
     )
     return means.withColumn("value", F.round("value", 6))
 

@@ -15,13 +15,13 @@ def line_features(lines: DataFrame, name: str = "vessel_key") -> DataFrame:
     """Trajectory lines with ``feature``, a GeoJSON feature as JSON text.
 
     The properties are the vessel as ``name`` and the ``dates`` of the points.
-    Rows that continue a line also state their ``part``.
+    ``part`` says which part of the line a feature is, from 0.
     """
     feature = feature_struct(
         geometry_struct("LineString", F.col("coordinates")),
         name=F.col(name),
         dates=F.col("dates"),
-        part=F.when(F.col("part") > 0, F.col("part")),
+        part=F.col("part"),
     )
     return lines.withColumn("feature", F.to_json(feature))
 
@@ -29,8 +29,12 @@ def line_features(lines: DataFrame, name: str = "vessel_key") -> DataFrame:
 def write_geojson(
     features: DataFrame, path: str, partition_by: Sequence[str] = ("geofence",), mode: str = "error"
 ) -> None:
-    """Write ``feature`` texts, one GeoJSON feature per line, in folders by ``partition_by``."""
-    writer = features.where(F.col("feature").isNotNull()).select(*partition_by, "feature").write
+    """Write ``feature`` texts, one GeoJSON feature per line, in folders by ``partition_by``.
+
+    Rows of a folder are brought together first, large folders in several files.
+    """
+    present = features.where(F.col("feature").isNotNull()).select(*partition_by, "feature")
+    writer = (present.hint("rebalance", *partition_by) if partition_by else present).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.mode(mode).text(path)

@@ -62,7 +62,9 @@ def _brute_force(passages, cargo, date_col, max_days, partition_by):
             rank = (row is None, _nulls_first(gap), tuple(map(_nulls_first, values)),
                     (geofence, _nulls_first(heading)))
             key = (vessel, time) + ((geofence,) if "geofence" in partition_by else ())
-            candidate = (rank, (vessel, geofence, heading, direction, gap, time, *values))
+            named = dict(zip(CARGO_COLUMNS, values), vessel_key=vessel, geofence=geofence, exit_heading=heading)
+            named |= {"exit_direction": direction, "date_diff": gap, "passage_time": time}
+            candidate = (rank, tuple(named[name] for name in MATCHED_COLUMNS))
             if key not in best or rank < best[key][0]:
                 best[key] = candidate
     return sorted((row for _, row in best.values()), key=repr)
@@ -97,6 +99,24 @@ def test_known_dates_and_order(spark):
     assert keys == sorted(keys)
 
 
+def test_passages_outside_the_known_dates_take_no_part(spark):
+    passages, cargo = _data(3)
+    psg, flows = spark.createDataFrame(passages, PASSAGES), spark.createDataFrame(cargo, CARGO_FLOWS)
+    first, last = BASE, BASE + dt.timedelta(days=30)
+    inside = psg.where((psg.passage_time >= first.replace(hour=0)) & (psg.passage_time < last.replace(hour=0) + dt.timedelta(days=1)))
+    assert sorted(map(repr, match_cargo(psg, flows, between=(first, last)).collect())) == sorted(
+        map(repr, match_cargo(inside, flows).collect())
+    )
+
+
+def test_wide_cargo_meets_the_needed_days_before_it_is_sorted(spark):
+    passages, cargo = _data(1)
+    matched = match_cargo(spark.createDataFrame(passages, PASSAGES), spark.createDataFrame(cargo, CARGO_FLOWS))
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Window" in line and "via_geofence" in line]
+    assert wide and "LeftSemi" in plan.split(wide[-1])[1]
+
+
 def test_tolerance_is_inclusive_on_both_sides(spark):
     psg = spark.createDataFrame([(1, "A", None, None, BASE)], PASSAGES)
     for days, found in ((39, True), (-39, True), (40, False), (-40, False)):

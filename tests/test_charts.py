@@ -53,6 +53,29 @@ def test_value_counts_shares_and_series(table):
     assert _rows(charts.value_shares(empty, "c")) == []
 
 
+def test_labels_belong_to_their_column(spark):
+    rows = [("2024-01-01", None, 1.0), (None, "a", 2.0), (None, None, 3.0)]
+    df = spark.createDataFrame(rows, "d string, c string, y double").withColumn("d", F.to_date("d"))
+    assert _rows(charts.chart_agg(df, "d", "y", "sum", "c", null_label="NaT")) == [("NaT", "a", 2.0)]
+    labels = {"d": "NaT", "c": "None"}
+    assert _rows(charts.chart_agg(df, "d", "y", "sum", "c", null_label=labels)) == [
+        ("2024-01-01", "None", 1.0), ("NaT", "None", 3.0), ("NaT", "a", 2.0),
+    ]
+    assert _rows(charts.chart_data(df, "histogram", "d", null_label="NaT")) == [("NaT", 2), ("2024-01-01", 1)]
+    points = charts.chart_data(df, "scatter", "d", "y", color="c", null_label="NaT")
+    assert [r.d for r in points.collect()] == ["2024-01-01", "NaT", "NaT"]
+
+
+def test_missing_numbers_are_in_no_bin_and_no_box(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", y) for y in (0.0, 10.0, 20.0, nan, None, inf, -inf)], "x string, y double")
+    bins = charts.histogram(df, "y", 2).collect()
+    assert [tuple(b) for b in bins] == [(1, 0.0, 10.0, 1), (2, 10.0, 20.0, 2)]
+    box = charts.box_summary(df.where("y IS NULL OR abs(y) < 100 OR isnan(y)"), "x", "y").first()
+    assert (box.n, box.min, box.q1, box.median, box.q3, box.max) == (3, 0.0, 5.0, 10.0, 15.0, 20.0)
+    assert (box.lower_whisker, box.upper_whisker) == (0.0, 20.0)
+
+
 def test_value_counts_break_ties_by_value(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "x string")
     assert _rows(charts.value_counts(df, "x")) == [("c", 2), ("a", 1), ("b", 1)]

@@ -11,7 +11,14 @@ from passagekit.functions.dates import (
     period_label,
     period_start,
 )
-from passagekit.functions.geometry import compact_wkt, number_text, polygon_rings, rings_to_wkt
+from passagekit.functions.geometry import (
+    compact_wkt,
+    multipolygon_rings,
+    number_text,
+    polygon_rings,
+    rings_to_wkt,
+    wkt_fault,
+)
 
 
 def test_octants_at_their_edges(spark):
@@ -80,12 +87,14 @@ def test_compact_wkt(spark):
 
 
 def test_polygon_rings(spark):
-    hole = [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 0.0]], [[1.0, 1.0], [2.5, 1.0], [1.0, 1.0]]]
+    hole = [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 0.0]], [[1.0, 1.0], [2.5, 1.0], [2.0, 2.0], [1.0, 1.0]]]
     cases = [
-        ("POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2.5 1, 1 1))", hole),
-        ("polygon((0 0,9 0,9 9,0 0),(1 1,2.5 1,1 1))", hole),
-        ("  POLYGON( (\n0 0 ,\t9 0,9   9,0 0 ) , ( 1 1,2.5 1,1 1) ) ", hole),
-        ("POLYGON Z ((0 0 1, 1e1 -2 3))", [[[0.0, 0.0, 1.0], [10.0, -2.0, 3.0]]]),
+        ("POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2.5 1, 2 2, 1 1))", hole),
+        ("polygon((0 0,9 0,9 9,0 0),(1 1,2.5 1,2 2,1 1))", hole),
+        ("  POLYGON( (\n0 0 ,\t9 0,9   9,0 0 ) , ( 1 1,2.5 1,2 2,1 1) ) ", hole),
+        ("POLYGON Z ((0 0 1, 1e1 -2 3, 1 1 1, 0 0 1))", [[[0.0, 0.0, 1.0], [10.0, -2.0, 3.0], [1.0, 1.0, 1.0], [0.0, 0.0, 1.0]]]),
+        ("POLYGON ((0 0, 9 0, 0 0))", None),
+        ("POLYGON ((0 0, 9 0, 9 9, 0 1))", None),
         ("POINT (1 2)", None),
         ("POLYGON ((0 0, 1 x))", None),
         ("POLYGON ((0 0, 1))", None),
@@ -97,8 +106,27 @@ def test_polygon_rings(spark):
     assert [r[0] for r in df.select(polygon_rings(F.col("wkt"))).collect()] == [c[1] for c in cases]
 
 
+def test_multipolygons_and_faults(spark):
+    square = [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]
+    cases = [
+        ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((0 0,1 0,1 1,0 0)))", [square, square], None),
+        ("multipolygon(((0 0,1 0,1 1,0 0),(0 0,1 0,1 1,0 0)))", [square + square], None),
+        ("MULTIPOLYGON (((0 0, 1 0, 1 1)))", None, "a ring has fewer than four points"),
+        ("POLYGON ((0 0, 1 0, 1 1, 0 0))", None, None),
+        ("POLYGON ((1 2))", None, "a ring has fewer than four points"),
+        ("POLYGON ((0 0, 1 0, 1 1, 2 2))", None, "a ring is not closed"),
+        ("POLYGON ((0 0, 1 x, 1 1, 0 0))", None, "a point does not have two or three numbers"),
+        ("LINESTRING (0 0, 1 1)", None, "it is neither POLYGON nor MULTIPOLYGON"),
+        (" ", None, "it is empty"),
+        (None, None, "it is empty"),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "wkt string")
+    rows = df.select(multipolygon_rings(F.col("wkt")), wkt_fault(F.col("wkt"))).collect()
+    assert [tuple(r) for r in rows] == [c[1:] for c in cases]
+
+
 def test_long_polygon(spark):
-    points = ", ".join(f"{i % 180} {i % 90}.5" for i in range(200_000))
+    points = ", ".join(f"{i % 180} {i % 90}.5" for i in range(199_999)) + ", 0 0.5"
     df = spark.createDataFrame([(f"POLYGON (({points}))",)], "wkt string")
     rings = df.select(F.size(F.get(polygon_rings(F.col("wkt")), F.lit(0)))).first()[0]
     assert rings == 200_000
@@ -108,13 +136,14 @@ def test_number_text(spark):
     numbers = [
         (10.0, "10"), (-47.47, "-47.47"), (0.0001, "0.0001"), (-0.00025, "-0.00025"),
         (0.0, "0"), (-0.0, "0"), (100.0, "100"), (179.89999999999998, "179.89999999999998"),
+        (1e7, "10000000"), (-12345678.9, "-12345678.9"), (123456789012.25, "123456789012.25"),
     ]
     df = spark.createDataFrame([(n,) for n, _ in numbers], "n double")
     assert [r[0] for r in df.select(number_text(F.col("n"))).collect()] == [t for _, t in numbers]
 
 
 def test_wkt_round_trip_is_stable(spark):
-    wkt = "POLYGON((0 0,9.25 0,9 -9,0 0),(1 1,2.5 1,1 1))"
+    wkt = "POLYGON((0 0,9.25 0,9 -9,0 0),(1 1,2.5 1,2 2,1 1))"
     df = spark.createDataFrame([(wkt,)], "wkt string")
     again = compact_wkt(rings_to_wkt(polygon_rings(F.col("wkt"))))
     assert df.select(again).first()[0] == wkt

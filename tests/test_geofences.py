@@ -114,6 +114,16 @@ def test_features(spark):
     }
     assert json.loads(texts[1])["properties"] == {"name": None, "tooltip": None, "geofence_name": "b"}
     assert texts[2] is None
+    several = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0)), ((0 0, 4 0, 4 4, 0 0)))"
+    rows = spark.createDataFrame([("m", "p", several, 1), ("o", "p", "POLYGON ((0 0, 4 0, 4 4))", 1)], GEOFENCES)
+    multi, broken = geofences.geofence_features(rows).collect()
+    square = [[[0, 0], [4, 0], [4, 4], [0, 0]]]
+    assert json.loads(multi.feature)["geometry"] == {"type": "MultiPolygon", "coordinates": [square, square]}
+    assert multi.feature_fault is None and multi.geometry is None
+    assert (broken.feature, broken.feature_fault) == (None, "a ring has fewer than four points")
+    checked = geofences.checked_geofences(rows).orderBy("geofence_name").collect()
+    assert [r.reason for r in checked] == [None, "Unreadable polygon: a ring has fewer than four points"]
+    rows = spark.createDataFrame([("a", 'P "x"', HOLED, 1)], GEOFENCES)
     outer = geofences.wkt_to_geojson(rows.limit(1), exterior_only=True).first().geometry
     assert outer.coordinates == [[[0, 0], [4, 0], [4, 4], [0, 0]]]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passagekit.operators.trajectories import (
     counted_positions,
     distinct_points,
+    line_ends,
     line_headings,
     positions_near_passages,
     trajectory_lines,
@@ -131,19 +132,50 @@ def test_short_lines_are_one_row(points):
     assert all(r.part == 0 and r.n_points == len(r.dates) for r in lines)
 
 
-@pytest.mark.parametrize("max_points", [1, 7, 50])
+@pytest.mark.parametrize("max_points", [2, 7, 50])
 def test_long_lines_continue_in_bounded_parts(points, max_points):
     df, rows = points
     parts = trajectory_lines(df, max_points=max_points).orderBy("vessel_key", "part").collect()
     joined = {}
     for row in parts:
         line = joined.setdefault(row.vessel_key, [])
-        assert len(line) == row.part * max_points
-        assert len(row.dates) == row.n_points <= max_points
-        line += zip(row.coordinates, row.dates)
+        found = list(zip(row.coordinates, row.dates))
+        assert 2 <= len(found) == row.n_points <= max_points
+        # Parts meet in one point.
+        assert row.part == 0 or found[0] == line[-1]
+        line += found[1:] if row.part else found
     assert joined == _expected_lines(rows)
 
 
+@pytest.mark.parametrize("max_points", [2, 7, 100_000])
+def test_headings_of_parts_are_those_of_the_line(points, max_points):
+    df, rows = points
+    ends = line_ends(trajectory_lines(df, max_points=max_points))
+    got = line_headings(ends, "ends", "n_points").select("vessel_key", "heading", "start_text", "end_text", "total_points")
+    whole = line_headings(trajectory_lines(df)).select(*got.columns)
+    assert sorted(got.collect()) == sorted(whole.collect())
+    assert {r.vessel_key: r.total_points for r in got.collect()} == {k: len(v) for k, v in _expected_lines(rows).items()}
+
+
+def test_a_point_is_a_line_and_full_parts_leave_none_alone(spark):
+    for n, max_points in ((1, 2), (2, 2), (3, 2), (3, 3), (5, 3), (7, 4)):
+        df = spark.createDataFrame([(1, 1.0, float(i), _hours(i)) for i in range(n)], POSITIONS)
+        sizes = [r.n_points for r in trajectory_lines(df, max_points=max_points).orderBy("part").collect()]
+        assert sum(sizes) - len(sizes) + 1 == n and (n == 1 or min(sizes) > 1)
+    with pytest.raises(ValueError, match="two points"):
+        trajectory_lines(df, max_points=1)
+
+
+def test_passages_outside_the_known_dates_take_no_part(spark):
+    passages = spark.createDataFrame([(1, "A", _hours(0)), (1, "B", _hours(24 * 40))], PASSAGES)
+    positions = spark.createDataFrame([(1, 1.0, 2.0, _hours(h)) for h in (1, 24 * 39)], POSITIONS)
+    between = (_hours(0), _hours(24))
+    near = positions_near_passages(positions, passages, between=between).collect()
+    assert [r.geofence for r in near] == ["A"]
+    counted = counted_positions(positions, passages, between=between).collect()
+    assert [(r.dt_pos_utc, r.copies) for r in counted] == [(_hours(1), 1)]
+
+
 def test_the_join_below_a_line_runs_once(spark, points):
     psg = spark.createDataFrame([(1, "A", _hours(2)), (2, "B", _hours(4))], PASSAGES)
     lines = trajectory_lines(positions_near_passages(points[0], psg), by=("geofence", "vessel_key"))
@@ -170,7 +202,7 @@ def test_line_features(points):
     texts = [r.feature for r in features.where("vessel_key = 1").collect()]
     assert texts[0].startswith('{"type":"Feature","geometry":{"type":"LineString","coordinates":[[')
     assert '"properties":{"name":1,"dates":["1970-01-05 ' in texts[0]
-    assert '"part"' not in texts[0] and texts[1].endswith('"part":1}}')
+    assert all(text.endswith(f'"part":{i}}}}}') for i, text in enumerate(texts)) and len(texts) > 1
 
 
 def test_lines_of_a_look_back_are_exported_per_geofence(spark, tmp_path):
