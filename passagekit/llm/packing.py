@@ -10,6 +10,7 @@ lengths allow. The pieces then find their bin by their rank among those of their
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -112,19 +113,23 @@ def pieces(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    checksums: bool = False,
 ) -> DataFrame:
     """The tokens of each document in pieces of at most ``capacity``.
 
     A document is its ids followed by ``end_id``. Longer ones are cut into pieces of
     ``capacity``; only the first piece may be shorter. Columns: ``id_col``, ``piece``,
     ``start`` (ids before it), ``length`` and ``ids`` (little-endian unsigned 32-bit
-    numbers). A null text counts as empty and gives one piece of one id; null and
-    repeated document ids stay as they are.
+    numbers), or with ``checksums`` only their unsigned ``ids_crc32``, so that no ids leave
+    the task. A null text counts as empty and gives one piece of one id; null and repeated
+    document ids stay as they are.
     """
     import_on_workers(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    @F.arrow_udf("array<struct<piece: int, start: bigint, length: bigint, ids: binary>>")
+    name, kind = ("ids_crc32", "bigint") if checksums else ("ids", "binary")
+
+    @F.arrow_udf(f"array<struct<piece: int, start: bigint, length: bigint, {name}: {kind}>>")
     def cut(texts: pa.Array) -> pa.Array:
         encode = tokenizer(path).encode_to_numpy
         ends, number, starts, sizes, raws = [0], [], [], [], []
@@ -136,15 +141,15 @@ def pieces(
                 number.append(i)
                 starts.append(a)
                 sizes.append(b - a)
-                raws.append(raw[4 * a : 4 * b])
+                raws.append(zlib.crc32(raw[4 * a : 4 * b]) if checksums else raw[4 * a : 4 * b])
             ends.append(len(number))
         columns = [
             pa.array(number, pa.int32()),
             pa.array(starts, pa.int64()),
             pa.array(sizes, pa.int64()),
-            pa.array(raws, pa.binary()),
+            pa.array(raws, pa.int64() if checksums else pa.binary()),
         ]
-        found = pa.StructArray.from_arrays(columns, names=["piece", "start", "length", "ids"])
+        found = pa.StructArray.from_arrays(columns, names=["piece", "start", "length", name])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
     return docs.select(F.col(id_col), cut(text_of(text_col)).alias("_pieces")).select(id_col, F.inline("_pieces"))
@@ -194,9 +199,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     See :func:`pieces` for nulls, empty and long texts and :func:`pack` for repeated rows.
     """
-    cut = pieces(docs, path, capacity, id_col=id_col, text_col=text_col)
-    thin = cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(thin, capacity)
+    return pack(pieces(docs, path, capacity, id_col=id_col, text_col=text_col, checksums=True), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 #: Bytes of text whose words are numbered together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 def _some(values: Iterable[bytes], extra: Iterable) -> Iterator[tuple[list[bytes], list]]:

@@ -68,6 +68,13 @@ def test_combinations_use_up_all_pieces():
     assert used == counts
 
 
+def test_checksums_are_those_of_the_ids(spark):
+    docs = spark.createDataFrame([(1, "some words " * 40), (2, None)], "doc_id long, text string")
+    whole = packing.pieces(docs, PATH, 16).collect()
+    sums = packing.pieces(docs, PATH, 16, checksums=True).collect()
+    assert [(*r[:4], zlib.crc32(r.ids)) for r in whole] == [tuple(r) for r in sums]
+
+
 def test_empty_table_and_wrong_lengths(spark):
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed(nothing, PATH).collect() == []
