@@ -55,7 +55,10 @@ def test_likelihood_ratio_divides_good_from_bad(judged):
     rows = judged[0]
     assert len(rows) == 64
     ratio = {r.doc_id: r.quality_rules.llr for r in rows if r.doc_id is not None}
-    assert min(ratio[i] for i in range(30)) > 0 > rules.THRESHOLD > max(ratio[100 + i] for i in range(30))
+    bad = max(ratio[100 + i] for i in range(30))
+    # Documents 20 to 29 are good too but outside the target, which has not seen their own 30 words.
+    assert min(ratio[i] for i in range(20)) > 0 > rules.THRESHOLD > bad
+    assert 0 > min(ratio[i] for i in range(20, 30)) > bad
     assert all(r.quality_rules.base_failed and not r.quality_rules.kept for r in rows if r.doc_id in (None, 200, 201))
     assert {r.kept for r in rows} == {"x", None, "n", "e", "f"}
 
@@ -74,6 +77,29 @@ def test_multinomials_equal_brute_force(judged):
     assert {(r.bucket, r.raw, r.target) for r in found} == {(b, n, target[b]) for b, n in raw.items()}
 
 
+def test_ratios_equal_brute_force(judged):
+    rows, docs, trusted = judged
+    known = {r.doc_id for r in trusted.collect()} - {None}
+    raw, target = Counter(), Counter()
+    grams = {}
+    for row in docs.collect():
+        text = (row.text or "").encode()
+        grams[text] = rules.Batch([text]).n_grams(rules.BUCKETS)[0].tolist()
+        raw.update(grams[text])
+        if row.doc_id in known:
+            target.update(grams[text])
+    total = {id(c): sum(c.values()) + rules.PRIOR * rules.BUCKETS for c in (raw, target)}
+
+    def share(counts, bucket):
+        return (counts[bucket] + rules.PRIOR) / total[id(counts)]
+
+    for row in rows:
+        own = grams[(row.text or "").encode()]
+        ratio = sum(math.log(share(target, b) / share(raw, b)) for b in own) / max(len(own), 1)
+        assert math.isclose(row.quality_rules.llr, ratio, abs_tol=1e-9)
+        assert row.quality_rules.kept == (not row.quality_rules.base_failed and row.quality_rules.llr >= rules.THRESHOLD)
+
+
 def test_without_target_the_base_rules_decide(spark, judged):
     docs = judged[1]
     rows = rules.with_verdict(docs, docs.select("doc_id").limit(0)).collect()
