@@ -165,17 +165,14 @@ def asset_events_of_one_subtype(spark, sf_dir):
 
 # ----------------------------------------------------------------- passages
 
+# A heading belongs to the eighth of the circle whose middle is nearest, from north clockwise.
 _PASSAGES = """
-    SELECT ge.vessel_key, ge.geofence, ge.exit_heading,
-           CASE WHEN ge.exit_heading IS NULL THEN NULL
-                WHEN ge.exit_heading < 22.5 THEN 'N' WHEN ge.exit_heading < 67.5 THEN 'NE'
-                WHEN ge.exit_heading < 112.5 THEN 'E' WHEN ge.exit_heading < 157.5 THEN 'SE'
-                WHEN ge.exit_heading < 202.5 THEN 'S' WHEN ge.exit_heading < 247.5 THEN 'SW'
-                WHEN ge.exit_heading < 292.5 THEN 'W' WHEN ge.exit_heading < 337.5 THEN 'NW'
-                ELSE 'N' END AS exit_direction,
-           COALESCE(ge.exit_time, ge.entry_time) AS passage_time,
-           ge.row_id, cvp.vessel_type
-    FROM {geofence_events} ge JOIN {current_vessel_positions} cvp ON cvp.imo = ge.imo"""
+    SELECT visit.vessel_key, visit.geofence, visit.exit_heading,
+           ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW']
+               [1 + CAST(floor(visit.exit_heading / 45 + 0.5) AS INTEGER) % 8] AS exit_direction,
+           CASE WHEN visit.exit_time IS NULL THEN visit.entry_time ELSE visit.exit_time END AS passage_time,
+           visit.row_id, fleet.vessel_type
+    FROM {current_vessel_positions} fleet INNER JOIN {geofence_events} visit USING (imo)"""
 
 _PASSAGE_COLUMNS = "vessel_key, geofence, exit_heading, exit_direction, passage_time, row_id"
 
@@ -229,11 +226,16 @@ def passage_directions(spark, sf_dir):
 
 
 def _near(passages_sql: str) -> str:
+    # From 14 days before the day of the passage to the end of the 14th day after it.
     return f"""
-        SELECT t.vessel_key, p.geofence, p.passage_time, t.latitude, t.longitude, t.dt_pos_utc
-        FROM {{trajectories}} t JOIN ({passages_sql}) p
-          ON p.vessel_key = t.vessel_key
-         AND ABS(date_diff('day', t.dt_pos_utc, p.passage_time)) <= 14"""
+        WITH windows AS (
+            SELECT vessel_key, geofence, passage_time,
+                   date_trunc('day', passage_time) - INTERVAL 14 DAY AS opens,
+                   date_trunc('day', passage_time) + INTERVAL 15 DAY AS closes
+            FROM ({passages_sql}) every_passage)
+        SELECT windows.vessel_key, geofence, passage_time, latitude, longitude, dt_pos_utc
+        FROM windows INNER JOIN {{trajectories}} report
+          ON report.vessel_key = windows.vessel_key AND dt_pos_utc >= opens AND dt_pos_utc < closes"""
 
 
 @report("positions_near_passages", _near(_PASSAGES))
@@ -390,27 +392,33 @@ def headings_of_lines(spark, sf_dir):
 # -------------------------------------------------------------------- cargo
 
 _CARGO_COLUMNS_SQL = ", ".join(
-    'cargo_group AS "group"' if name == "group" else f"c_{name} AS {name}"
-    if name == "vessel_type"
-    else name
-    for name in CARGO_COLUMNS
+    'flow.cargo_group AS "group"' if name == "group" else f"flow.{name}" for name in CARGO_COLUMNS
 )
 
 
 def _matched(passages_sql: str, date_col: str) -> str:
-    gap = f"ABS(date_diff('day', c.{date_col}, p.passage_time))"
+    """One row for each moment of a vessel: its first passage, and the cargo row it is nearest to.
+
+    The least pair of distance in days and row finds the cargo.
+    """
     return f"""
-        SELECT vessel_key, geofence, exit_heading, exit_direction,
-               CAST(gap AS BIGINT) AS date_diff, passage_time, {_CARGO_COLUMNS_SQL}
-        FROM (
-            SELECT p.vessel_key, p.geofence, p.exit_heading, p.exit_direction, p.passage_time,
-                   c.* EXCLUDE (row_id, vessel_type), c.vessel_type AS c_vessel_type, {gap} AS gap,
-                   ROW_NUMBER() OVER (PARTITION BY p.vessel_key, p.passage_time
-                                      ORDER BY {gap} NULLS FIRST, c.row_id NULLS FIRST,
-                                               p.row_id NULLS FIRST) AS rn
-            FROM ({passages_sql}) p
-            LEFT JOIN {{cargoflow}} c ON p.vessel_key = c.vessel_imo AND {gap} < 40) ranked
-        WHERE rn = 1"""
+        WITH moments AS (
+            SELECT vessel_key, passage_time, CAST(passage_time AS DATE) AS passage_day,
+                   arg_min(struct_pack(geofence, exit_heading, exit_direction), row_id) AS passage
+            FROM ({passages_sql}) every_passage GROUP BY vessel_key, passage_time),
+        reached AS (
+            SELECT vessel_key, passage_time,
+                   min(struct_pack(gap := abs(CAST({date_col} AS DATE) - passage_day), flow_row := row_id)) AS nearest
+            FROM moments INNER JOIN {{cargoflow}} every_flow
+              ON vessel_imo = vessel_key
+             AND CAST({date_col} AS DATE) BETWEEN passage_day - 39 AND passage_day + 39
+            GROUP BY vessel_key, passage_time)
+        SELECT moments.vessel_key, passage.geofence AS geofence, passage.exit_heading AS exit_heading,
+               passage.exit_direction AS exit_direction, CAST(nearest.gap AS BIGINT) AS date_diff,
+               moments.passage_time, {_CARGO_COLUMNS_SQL}
+        FROM moments
+        LEFT JOIN reached ON reached.vessel_key = moments.vessel_key AND reached.passage_time = moments.passage_time
+        LEFT JOIN {{cargoflow}} flow ON flow.row_id = nearest.flow_row"""
 
 
 def _match(passages_df: DataFrame, cargo: DataFrame, date_col: str, **options) -> DataFrame:
@@ -753,13 +761,25 @@ def geofence_features(spark, sf_dir):
 
 @report(
     "geofence_feature_collections",
-    """SELECT CAST(i // 10000 AS BIGINT) AS part, COUNT(*) AS n_features
-       FROM (SELECT ROW_NUMBER() OVER () - 1 AS i FROM {geofences} g) numbered GROUP BY 1""",
+    f"""SELECT CAST(0 AS BIGINT) AS part, COUNT(*) AS n_features,
+               CAST(SUM(length(feature)) + COUNT(*) - 1 + length('{{"type":"FeatureCollection","features":[]}}')
+                    AS BIGINT) AS n_chars,
+               md5(string_agg(md5(feature), ',' ORDER BY md5(feature))) AS features_md5
+        FROM ({_FEATURES_SQL}) f HAVING COUNT(*) <= 10000""",
 )
 def geofence_feature_collections(spark, sf_dir):
     features = geofences.geofence_features(_geofences(spark, sf_dir))
     packed = geofences.feature_collections(features)
-    return packed.select("part", F.col("n_features").cast("bigint").alias("n_features"))
+    # The features are read back from the text of the document.
+    within = F.expr("substring(collection, 41, length(collection) - 42)")
+    each = F.split(within, r'(?<=\}\}),(?=\{"type":"Feature")')
+    digests = F.array_sort(F.transform(each, F.md5))
+    return packed.select(
+        "part",
+        F.col("n_features").cast("bigint").alias("n_features"),
+        F.length("collection").cast("bigint").alias("n_chars"),
+        F.md5(F.array_join(digests, ",")).alias("features_md5"),
+    )
 
 
 _TRIMMED = """
