@@ -7,6 +7,8 @@ ties.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _VESSEL_TYPE = """CASE s_nationkey % 4 WHEN 0 THEN 'LPG Carriers' WHEN 1 THEN 'Oil Tankers'
@@ -127,24 +129,14 @@ SELECT c_custkey AS doc_id,
 FROM customer""",
 }
 
-_tables: dict[tuple[SparkSession, str], DataFrame] = {}
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "lineitem", "events")
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    """The parquet table at ``path``, opened once per session."""
-    key = (spark, path)
-    if key not in _tables:
-        _tables[key] = spark.read.parquet(path)
-    return _tables[key]
-
-
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the parquet files in ``sf_dir``."""
     sql = SQL[name]
     for table in TABLES:
-        if table in sql:
-            _table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if re.search(rf"(FROM|JOIN) {table}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     df = spark.sql(sql)
     return df.withColumnRenamed("cargo_group", "group")

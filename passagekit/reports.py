@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from passagekit import fixtures
 from passagekit.functions.dates import lookback_range
@@ -18,9 +19,11 @@ from passagekit.operators import charts, geofences
 from passagekit.operators.cargo import match_cargo
 from passagekit.operators.frequency import entries_per_period
 from passagekit.operators.passages import events_for, passages
+from passagekit.operators.quantiles import exact_quantiles
 from passagekit.operators.trajectories import (
     counted_positions,
     distinct_points,
+    line_ends,
     line_headings,
     positions_near_passages,
     trajectory_lines,
@@ -29,7 +32,7 @@ from passagekit.plans.flows import recent_cargo, recent_lines, recent_positions
 from passagekit.schemas import CARGO_COLUMNS, from_lake_schema, to_lake_schema
 from passagekit.sinks.exports import line_features
 from passagekit.sources import geojson
-from passagekit.sources.tables import asset_events, geofence_map
+from passagekit.sources.tables import asset_events, geofence_map, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -933,3 +936,218 @@ def geojson_polygons_to_wkt(spark, sf_dir):
 def payload_fields(spark, sf_dir):
     drawn = geofences.with_payload(_geofences(spark, sf_dir)).select("row_id", "payload")
     return geojson.parse_geofence_payload(drawn, "payload", missing="").drop("payload")
+
+
+@report(
+    "payload_missing_fields",
+    """SELECT coalesce(geofence_name, '') AS geofence_name, coalesce(port_name, '') AS port_name,
+              coalesce(wkt_coordinates, '') AS wkt_coordinates FROM {geofence_uploads} u""",
+)
+def payload_missing_fields(spark, sf_dir):
+    uploads = fixtures.fixture(spark, sf_dir, "geofence_uploads")
+    # Null fields are absent from this text.
+    sent = uploads.select(F.to_json(F.struct(*uploads.columns)).alias("payload"))
+    return geojson.parse_geofence_payload(sent, "payload", missing="").drop("payload")
+
+
+@report(
+    "geojson_roots",
+    """SELECT geofence_name, root, CAST(0 AS INTEGER) AS feature_no, 'Polygon' AS geometry_type,
+              CASE root WHEN 'Feature' THEN port_name END AS name
+       FROM {geofences} g, (VALUES ('Feature'), ('Polygon')) AS roots(root)""",
+)
+def geojson_roots(spark, sf_dir):
+    drawn = geofences.geofence_features(_geofences(spark, sf_dir))
+    texts = F.array(F.col("feature"), F.get_json_object("feature", "$.geometry"))
+    documents = drawn.select("geofence_name", F.explode(texts).alias("text"))
+    documents = documents.withColumn("root", F.get_json_object("text", "$.type"))
+    return geojson.explode_features(geojson.parse_collections(documents)).select(
+        "geofence_name", "root", "feature_no", "geometry_type", F.col("properties")["name"].alias("name")
+    )
+
+
+@report(
+    "uploads_by_ending",
+    """SELECT doc_id, 'area-' || CAST(doc_id AS VARCHAR) || ['.GeoJSON', '.json'][CAST(doc_id % 3 AS INTEGER) + 1] AS file_name
+       FROM {geojson_documents} d WHERE doc_id % 3 < 2""",
+)
+def uploads_by_ending(spark, sf_dir):
+    names = fixtures.fixture(spark, sf_dir, "geojson_documents").select(
+        "doc_id",
+        F.concat(
+            F.lit("area-"),
+            F.col("doc_id").cast("string"),
+            F.get(F.array(F.lit(".GeoJSON"), F.lit(".json"), F.lit(".json.bak")), (F.col("doc_id") % 3).cast("int")),
+        ).alias("file_name"),
+    )
+    return names.where(geojson.is_upload(F.col("file_name")))
+
+
+# Polygons as they should not be: in several parts, open, of another kind, with a word for a number.
+_SPOILT = """CASE row_id % 5
+    WHEN 0 THEN 'MULTIPOLYGON (' || substring(wkt_coordinates, 9) || ')'
+    WHEN 1 THEN replace(wkt_coordinates, '))', ', 0.5 0.5))')
+    WHEN 2 THEN replace(wkt_coordinates, 'POLYGON', 'POINT')
+    WHEN 3 THEN replace(wkt_coordinates, ', ', ', x ')
+    ELSE wkt_coordinates END"""
+
+
+@report(
+    "geofence_faults",
+    """SELECT geofence_name,
+              CASE row_id % 5 WHEN 0 THEN 'MultiPolygon' WHEN 4 THEN 'Polygon' END AS drawn_as,
+              CASE row_id % 5 WHEN 1 THEN 'a ring is not closed'
+                   WHEN 2 THEN 'it is neither POLYGON nor MULTIPOLYGON'
+                   WHEN 3 THEN 'a point does not have two or three numbers' END AS feature_fault,
+              CASE WHEN row_id % 5 IN (0, 4) THEN 'accepted' ELSE 'rejected' END AS verdict
+       FROM {geofences} g""",
+)
+def geofence_faults(spark, sf_dir):
+    spoilt = _geofences(spark, sf_dir).withColumn("wkt_coordinates", F.expr(_SPOILT))
+    drawn = geofences.geofence_features(geofences.checked_geofences(spoilt))
+    return drawn.select(
+        "geofence_name",
+        F.get_json_object("feature", "$.geometry.type").alias("drawn_as"),
+        "feature_fault",
+        F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias("verdict"),
+    )
+
+
+# ------------------------------------------------- table reads and selections
+
+
+@report(
+    "suppliers_conformed",
+    """SELECT CAST(s_suppkey AS BIGINT) AS "IMO_KEY", CAST(s_nationkey AS VARCHAR) AS nation
+       FROM supplier""",
+)
+def suppliers_conformed(spark, sf_dir):
+    wanted = StructType([StructField("S_SUPPKEY", LongType()), StructField("s_nationkey", StringType())])
+    read = read_table(spark, f"{sf_dir}/supplier.parquet", schema=wanted)
+    return read.withColumnsRenamed({"S_SUPPKEY": "IMO_KEY", "s_nationkey": "nation"})
+
+
+@report(
+    "empty_selections",
+    f"""SELECT 'everything' AS selection, COUNT(*) AS passages FROM ({_PASSAGES}) p
+        UNION ALL SELECT selection, 0 FROM (VALUES ('no vessel type'), ('no geofence')) AS s(selection)""",
+)
+def empty_selections(spark, sf_dir):
+    def counted(selection: str, **chosen) -> DataFrame:
+        found = passages(_events(spark, sf_dir), _vessels(spark, sf_dir), **chosen)
+        return found.agg(F.count(F.lit(1)).alias("passages")).select(F.lit(selection).alias("selection"), "passages")
+
+    return (
+        counted("everything")
+        .union(counted("no vessel type", vessel_types=[]))
+        .union(counted("no geofence", geofences=None))
+    )
+
+
+# ------------------------------------------------------------ lines in parts
+
+_SMALL_PART = 50
+_NUMBERED = f"""
+    SELECT *, row_number() OVER (PARTITION BY vessel_key ORDER BY dt_pos_utc, longitude, latitude) - 1 AS r
+    FROM ({_near(_PASSAGES)}) near_passages"""
+
+
+def _short_lines(spark, sf_dir):
+    counted = _counted(spark, sf_dir, ("vessel_key",))
+    return trajectory_lines(counted, max_points=_SMALL_PART, copies="copies")
+
+
+@report(
+    "trajectory_lines_in_short_parts",
+    f"""WITH numbered AS ({_NUMBERED}),
+        placed AS (SELECT *, r // {_SMALL_PART - 1} AS part FROM numbered
+                   UNION ALL
+                   SELECT *, r // {_SMALL_PART - 1} - 1 FROM numbered WHERE r > 0 AND r % {_SMALL_PART - 1} = 0)
+        SELECT vessel_key, CAST(part AS BIGINT) AS part, COUNT(*) AS n_points,
+               string_agg({_POINT_TEXT}, ',' ORDER BY r) AS path,
+               string_agg(strftime(dt_pos_utc, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY r) AS dates
+        FROM placed GROUP BY vessel_key, part HAVING part = 0 OR COUNT(*) > 1""",
+)
+def lines_in_short_parts(spark, sf_dir):
+    return _lines_as_text(_short_lines(spark, sf_dir), "vessel_key")
+
+
+@report(
+    "trajectory_headings",
+    f"""WITH ends AS (
+            SELECT vessel_key, COUNT(*) AS total_points,
+                   arg_min([longitude, latitude], r) AS a, arg_max([longitude, latitude], r) AS b
+            FROM ({_NUMBERED}) numbered GROUP BY vessel_key HAVING COUNT(*) > 1),
+        angles AS (
+            SELECT *, degrees(atan2(sin(radians(b[1] - a[1])) * cos(radians(b[2])),
+                       cos(radians(a[2])) * sin(radians(b[2]))
+                       - sin(radians(a[2])) * cos(radians(b[2])) * cos(radians(b[1] - a[1])))) AS angle
+            FROM ends)
+        SELECT vessel_key, total_points, round(CASE WHEN angle < 0 THEN angle + 360 ELSE angle END, 6) AS heading,
+               printf('[%.6f, %.6f]', a[1], a[2]) AS start_text, printf('[%.6f, %.6f]', b[1], b[2]) AS end_text
+        FROM angles""",
+)
+def trajectory_headings(spark, sf_dir):
+    ends = line_ends(_short_lines(spark, sf_dir)).where("n_points > 1")
+    return line_headings(ends, "ends", "n_points").select(
+        "vessel_key",
+        F.col("total_points").cast("bigint").alias("total_points"),
+        F.round("heading", 6).alias("heading"),
+        "start_text",
+        "end_text",
+    )
+
+
+# ------------------------------------------- charts with nulls and odd numbers
+
+
+@report(
+    "unload_date_histogram",
+    f"""SELECT coalesce(strftime(unload_date, '%Y-%m-%d %H:%M:%S'), 'NaT') AS unload_date, COUNT(*) AS "count"
+        FROM ({_TABLE}) m GROUP BY ALL""",
+)
+def unload_date_histogram(spark, sf_dir):
+    return charts.chart_data(_table(spark, sf_dir), "histogram", "unload_date", null_label="NaT")
+
+
+@report(
+    "scatter_points_with_null_label",
+    f"""SELECT coalesce(strftime(unload_date, '%Y-%m-%d %H:%M:%S'), 'NaT') AS unload_date, quantity,
+               via_geofence FROM ({_TABLE}) m""",
+)
+def scatter_points_with_null_label(spark, sf_dir):
+    return charts.chart_data(
+        _table(spark, sf_dir), "scatter", "unload_date", "quantity", color="via_geofence", null_label="NaT"
+    )
+
+
+_SOME_QUANTITIES = "(CASE WHEN via_geofence IS NOT NULL THEN quantity END)"
+
+
+def _with_nan(spark, sf_dir):
+    """The matched table; a quantity that came by no geofence is not a number."""
+    quantity = F.when(F.col("via_geofence").isNotNull(), F.col("quantity")).otherwise(F.lit(float("nan")))
+    return _table(spark, sf_dir).withColumn("quantity", quantity)
+
+
+@report("quantity_histogram_with_nan", _histogram_check(_SOME_QUANTITIES))
+def quantity_histogram_with_nan(spark, sf_dir):
+    return _rounded_bins(charts.histogram(_with_nan(spark, sf_dir), "quantity"))
+
+
+@report("quantity_box_with_nan", _box_check("unload_region", _SOME_QUANTITIES))
+def quantity_box_with_nan(spark, sf_dir):
+    return _rounded_box(charts.box_summary(_with_nan(spark, sf_dir), "unload_region", "quantity"))
+
+
+@report(
+    "headings_by_bracket",
+    f"""SELECT geofence, round(quantile_cont(exit_heading, 0.25), 6) AS q1,
+               round(quantile_cont(exit_heading, 0.5), 6) AS median,
+               round(quantile_cont(exit_heading, 0.9), 6) AS q9
+        FROM ({_PASSAGES}) p WHERE exit_heading IS NOT NULL GROUP BY geofence""",
+)
+def headings_by_bracket(spark, sf_dir):
+    # A coarse sketch, so that groups of this size are bracketed.
+    found = exact_quantiles(_all_passages(spark, sf_dir), ["geofence"], "exit_heading", (0.25, 0.5, 0.9), accuracy=40)
+    return found.select("geofence", *[F.round(q, 6).alias(name) for q, name in (("q0", "q1"), ("q1", "median"), ("q2", "q9"))])

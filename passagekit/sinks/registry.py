@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,20 @@ from passagekit.operators.passages import with_passage_date
 from passagekit.schemas import to_lake_schema
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that all readers see the same rows.
+
+    Only a session without ``spark.checkpoint.dir``, as in tests, gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="passagekit-checkpoints-"))
+    return df.checkpoint()
+
+
 def _check(geofences: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    checked = checked_geofences(geofences)
+    """Accepted rows and the counts, both from one stored copy of the checked input."""
+    checked = _stored(checked_geofences(geofences))
     counts = checked.agg(
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
@@ -19,12 +33,16 @@ def _check(geofences: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return checked.where(F.col("reason").isNull()).drop("reason"), counts.asDict()
 
 
+def _append(rows: DataFrame, path: str, format: str) -> None:
+    rows.write.format(format).mode("append").save(path)
+
+
 def append_geofences(
     geofences: DataFrame, path: str, srid: int = 4326, format: str = "parquet"
 ) -> dict[str, int]:
     """Append valid geofences to the registry; return how many were accepted and rejected."""
     accepted, counts = _check(geofences)
-    registry_rows(accepted, srid).write.format(format).mode("append").save(path)
+    _append(registry_rows(accepted, srid), path, format)
     return counts
 
 
@@ -33,7 +51,7 @@ def append_to_lake(
 ) -> dict[str, int]:
     """Append valid geofences to the lake table; return how many were accepted and rejected."""
     accepted, counts = _check(geofences)
-    to_lake_schema(accepted, reentry_hours).write.format(format).mode("append").save(path)
+    _append(to_lake_schema(accepted, reentry_hours), path, format)
     return counts
 
 
@@ -45,9 +63,10 @@ def deploy_geofences(
     reentry_hours: int = 0,
     format: str = "parquet",
 ) -> dict[str, int]:
-    """Append to the registry and, once that has succeeded, to the lake."""
-    counts = append_geofences(geofences, registry_path, srid, format)
-    append_to_lake(geofences, lake_path, reentry_hours, format)
+    """Append to the registry and, once that has succeeded, the same rows to the lake."""
+    accepted, counts = _check(geofences)
+    _append(registry_rows(accepted, srid), registry_path, format)
+    _append(to_lake_schema(accepted, reentry_hours), lake_path, format)
     return counts
 
 
@@ -74,7 +93,11 @@ def delete_geofences(
 def delete_from_delta(
     spark: SparkSession, path: str, keys: DataFrame, key: str = "external_id"
 ) -> dict[str, int]:
-    """Delete the given keys from a Delta table in place; needs Delta on the session."""
+    """Delete the given keys from a Delta table in place.
+
+    Experimental: it needs Delta on the session and is not covered by the tests.
+    """
+    path, key = (name.replace("`", "``") for name in (path, key))
     doomed = keys.select(F.col(f"`{keys.columns[0]}`").alias("doomed")).distinct()
     result = spark.sql(
         f"MERGE INTO delta.`{path}` AS t USING {{doomed}} AS k ON t.`{key}` = k.doomed"

@@ -11,9 +11,16 @@ UPLOAD_ENDINGS = (".geojson", ".json")
 UPLOAD_GLOB = "*.{[gG][eE][oO][jJ][sS][oO][nN],[jJ][sS][oO][nN]}"
 
 # Coordinates stay raw JSON here; their nesting depends on the geometry kind.
-COLLECTION_SCHEMA = (
-    "type string, features array<struct<type: string,"
-    " geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
+_GEOMETRY = "struct<type: string, coordinates: string>"
+_FEATURE = f"struct<type: string, geometry: {_GEOMETRY}, properties: map<string, string>>"
+# A root may be a collection, one feature or one geometry.
+ROOT_SCHEMA = (
+    f"type string, features array<{_FEATURE}>,"
+    f" geometry {_GEOMETRY}, properties map<string, string>, coordinates string"
+)
+# The kinds of geometry.
+GEOMETRY_KINDS = (
+    "Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection",
 )
 PAYLOAD_SCHEMA = "geofence_name string, port_name string, wkt_coordinates string"
 LINE_SCHEMA = "array<array<double>>"
@@ -31,16 +38,30 @@ def is_upload(name: Column) -> Column:
 def parse_collections(documents: DataFrame, text: str = "text", on_error: str = "drop") -> DataFrame:
     """Add ``collection``, the parsed feature collection of a document.
 
-    A document that is not a valid JSON object is dropped, or kept with a null
+    A document that is one feature or one geometry is a collection of that. A document that is not a valid JSON object is dropped, or kept with a null
     collection for ``on_error="keep"``.
     """
     if on_error not in ("drop", "keep"):
         raise ValueError(f"unknown on_error {on_error!r}, expected 'drop' or 'keep'")
-    parsed = F.from_json(F.col(text), COLLECTION_SCHEMA)
+    root = F.col("_root")
+    geometry = F.struct(root["type"].alias("type"), root["coordinates"].alias("coordinates"))
+    alone = F.when(
+        root["type"] == "Feature", F.struct(root["type"].alias("type"), root["geometry"].alias("geometry"),
+                                            root["properties"].alias("properties"))
+    ).when(
+        root["type"].isin(*GEOMETRY_KINDS),
+        F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"),
+                 F.lit(None).cast("map<string, string>").alias("properties")),
+    )
+    parsed = F.struct(
+        root["type"].alias("type"),
+        F.coalesce(root["features"], F.when(alone.isNotNull(), F.array(alone))).alias("features"),
+    )
     valid = F.startswith(F.get_json_object(F.col(text), "$"), F.lit("{"))
     if on_error == "drop":
-        return documents.where(valid).withColumn("collection", parsed)
-    return documents.withColumn("collection", F.when(valid, parsed))
+        documents, valid = documents.where(valid), F.lit(True)
+    rooted = documents.withColumn("_root", F.from_json(F.col(text), ROOT_SCHEMA))
+    return rooted.withColumn("collection", F.when(valid, parsed)).drop("_root")
 
 
 def read_geojson(spark: SparkSession, path: str, on_error: str = "drop") -> DataFrame:

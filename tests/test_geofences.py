@@ -72,6 +72,35 @@ def test_append_deploy_and_delete(spark, uploads, tmp_path):
     assert {r.geofence_name for r in read_table(spark, smaller).collect()} == {"G1", "G2"}
 
 
+def test_registry_and_lake_get_the_same_rows(spark, uploads, tmp_path):
+    # Names that differ each time that the input is evaluated.
+    changing = uploads.where("port_name <> ''").withColumn("geofence_name", F.expr("uuid()"))
+    table, lake = str(tmp_path / "registry"), str(tmp_path / "lake")
+    counts = registry.deploy_geofences(changing, table, lake)
+    names = {r.geofence_name for r in read_table(spark, table).collect()}
+    assert names == {r.external_id for r in read_table(spark, lake).collect()}
+    assert len(names) == counts["accepted"] > 0
+
+
+def test_any_root_is_a_collection(spark):
+    texts = [
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"a":"b"}}',
+        '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}',
+        '{"type":"GeometryCollection","geometries":[]}',
+        '{"other":1}',
+        "[1]",
+    ]
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = geojson.explode_features(geojson.parse_collections(documents)).orderBy("id").collect()
+    assert [(r.id, r.geometry_type, r.coordinates, r.properties) for r in rows] == [
+        (0, "Point", "[1,2]", {"a": "b"}),
+        (1, "Polygon", "[[[0,0],[1,0],[1,1],[0,0]]]", None),
+        (2, "GeometryCollection", None, None),
+    ]
+    kept = geojson.parse_collections(documents, on_error="keep").where("collection IS NULL")
+    assert [r.id for r in kept.collect()] == [4]
+
+
 def test_rows_with_a_null_key_are_kept(spark):
     rows = spark.createDataFrame([("a",), (None,)], "geofence_name string")
     keys = spark.createDataFrame([("a",), (None,)], "k string")
