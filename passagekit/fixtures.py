@@ -16,7 +16,7 @@ _VESSEL_TYPE = """CASE s_nationkey % 4 WHEN 0 THEN 'LPG Carriers' WHEN 1 THEN 'O
 
 _LINE_ID = (
     "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)"
-    " || '-' || CAST(l_partkey AS STRING)"
+    " || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
 )
 
 # South-west corner of a customer's polygon.

@@ -421,7 +421,7 @@ def _matched(passages_sql: str, date_col: str) -> str:
                moments.passage_time, {_CARGO_COLUMNS_SQL}
         FROM moments
         LEFT JOIN reached ON reached.vessel_key = moments.vessel_key AND reached.passage_time = moments.passage_time
-        LEFT JOIN {{cargoflow}} flow ON flow.row_id = nearest.flow_row"""
+        LEFT JOIN {{cargoflow}} flow ON flow.row_id = nearest.flow_row AND flow.vessel_imo = moments.vessel_key"""
 
 
 def _match(passages_df: DataFrame, cargo: DataFrame, date_col: str, **options) -> DataFrame:
