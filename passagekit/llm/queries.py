@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, suffix_tree, topk
+from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, suffix_tree, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.query,
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_toxicity": toxicity.query,
 }
 
 CHECKS = {
