@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from passagekit.llm import bpe, chat, html_text, packing, pii, quality_model, quality_rules, simhash, suffix_tree, topk, toxicity
+from passagekit.llm import (
+    bpe,
+    chat,
+    html_text,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    simhash,
+    suffix_tree,
+    topk,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +29,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
     "op11_toxicity": toxicity.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 CHECKS = {

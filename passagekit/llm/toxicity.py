@@ -26,7 +26,7 @@ from passagekit.llm.common import id_remainder, import_on_workers, saved, table,
 
 #: Labelled texts that are learned from; of more, those with the smallest hashes are taken.
 MAX_EXAMPLES = 20_000
-COORDINATES = 2**20
+COORDINATES = 2**19
 #: Numbers of words between the two of a skip-gram.
 SKIPS = (1, 2)
 #: Characters of the beginnings that longer words count by as well, so that inflected forms share a weight.
@@ -85,8 +85,8 @@ class Ftrl:
     """State of the regression: ``z`` and ``n`` of each coordinate, the last one being the constant."""
 
     def __init__(self, z: np.ndarray | None = None, n: np.ndarray | None = None):
-        self.z = np.zeros(COORDINATES + 1) if z is None else z.copy()
-        self.n = np.zeros(COORDINATES + 1) if n is None else n.copy()
+        self.z = np.zeros(COORDINATES + 1) if z is None else z.astype(float)
+        self.n = np.zeros(COORDINATES + 1) if n is None else n.astype(float)
 
     def learn(self, coordinates: np.ndarray, label: int) -> None:
         """One step on one example."""
@@ -163,14 +163,15 @@ def train(
     """
     import_on_workers(docs.sparkSession)
     examples = saved(examples_of(docs, labels, id_col, text_col, label_col, max_examples))
-    z, n = np.zeros(COORDINATES + 1), np.zeros(COORDINATES + 1)
+    # The common state goes to all tasks in every round, so it is kept short.
+    z, n = np.zeros(COORDINATES + 1, np.float32), np.zeros(COORDINATES + 1, np.float32)
     for _ in range(rounds):
         changes = examples.mapInArrow(_stream(z, n), "coordinate int, z long, n long")
         mean = changes.groupBy("coordinate").agg(F.sum("z") / F.count("z"), F.sum("n") / F.count("n")).toArrow()
         at = mean.column(0).to_numpy()
-        z[at] += mean.column(1).to_numpy() * UNIT
-        n[at] += mean.column(2).to_numpy() * UNIT
-    return Model(z, n)
+        z[at] += (mean.column(1).to_numpy() * UNIT).astype(np.float32)
+        n[at] += (mean.column(2).to_numpy() * UNIT).astype(np.float32)
+    return Model(z.astype(float), n.astype(float))
 
 
 def _stream(z: np.ndarray, n: np.ndarray):
