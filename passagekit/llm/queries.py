@@ -14,6 +14,7 @@ from passagekit.llm import (
     suffix_tree,
     topk,
     toxicity,
+    turn_repair,
     whitening,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_simhash_near_dedup": simhash.query,
     "op11_toxicity": toxicity.query,
+    "op12_turn_repair": turn_repair.query,
     "op13_embedding_whitening": whitening.query,
 }
 
