@@ -31,13 +31,13 @@ COORDINATES = 2**19
 SKIPS = (1, 2)
 #: Characters of the beginnings that longer words count by as well, so that inflected forms share a weight.
 BEGINNINGS = (4, 5, 6)
-SHARDS = 8
+SHARDS = 4
 ROUNDS = 4
 #: FTRL-proximal: learning rate and its damping, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 CUT = 0.5
 #: Changes are summed as whole numbers of this unit, so that their order is of no account.
-UNIT = 2.0**-30
+UNIT = 2.0**-20
 
 #: Runs of letters and digits.
 _WORD = re.compile(r"[^\W_]+")
@@ -59,6 +59,15 @@ def features(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int32)
 
 
+def packed(coordinates: np.ndarray) -> bytes:
+    """Rising coordinates as compressed steps, a fraction of their size."""
+    return zlib.compress(np.diff(coordinates, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(steps), "<u4").astype(np.int32))
+
+
 def _numbers(values) -> np.ndarray:
     return np.fromiter(values, dtype=np.uint64, count=len(values))
 
@@ -119,7 +128,7 @@ class Model:
 def examples_of(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int
 ) -> DataFrame:
-    """``coordinates`` and ``label`` of at most ``max_examples`` texts, dealt into ``SHARDS`` ordered streams.
+    """``label`` and packed ``coordinates`` of at most ``max_examples`` texts, dealt into ``SHARDS`` ordered streams.
 
     Labels other than 0 and 1, null ids and ids that no document has are left out. Repeated
     rows of a text and label count once, and an id with both labels counts with each. All
@@ -136,9 +145,9 @@ def examples_of(
     most = found.select("_hash").distinct().orderBy("_hash").limit(max_examples).agg(F.max("_hash")).first()[0]
     found = found.where(F.col("_hash") <= F.lit(0 if most is None else most).cast("long"))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def coordinates(column: pa.Array) -> pa.Array:
-        return pa.array([features(v.as_py()) for v in column], pa.list_(pa.int32()))
+        return pa.array([packed(features(v.as_py())) for v in column], pa.binary())
 
     hashed = found.select("_hash", "label", coordinates("_text").alias("coordinates"))
     # Equal hashes stand for equal texts with equal labels; one row of each goes on.
@@ -181,7 +190,7 @@ def _stream(z: np.ndarray, n: np.ndarray):
         state = Ftrl(z, n)
         for batch in batches:
             for label, coordinates in zip(batch["label"].to_pylist(), batch["coordinates"], strict=True):
-                state.learn(coordinates.values.to_numpy(), label)
+                state.learn(unpacked(coordinates.as_py()), label)
         at = np.nonzero(state.n != n)[0]
         parts = (np.rint((new[at] - old[at]) / UNIT).astype(np.int64) for new, old in ((state.z, z), (state.n, n)))
         yield pa.RecordBatch.from_arrays(
