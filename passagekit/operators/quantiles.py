@@ -6,17 +6,22 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of the sketch that brackets a quantile is at most 1 / SKETCH_ACCURACY.
+# Rank error of an approximate quantile is at most 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
-
 # Parts into which the distinct values of a group are dealt for joins on the group.
 SALTS = 32
 SALT = "_salt"
 
+# Cells of a factor of two among the first cells, and cells that one of those is cut into.
+# A first cell holds fewer than 2^48 doubles, so that what is left in a cell of a cell is
+# bounded whatever the data, and a millionth of the first cell if its values are spread.
+OCTAVE_CELLS = 16
+CELLS = 2**20
+
 
 def salted(weights: DataFrame, y: str = "y") -> DataFrame:
     """Values with the part of their group that they are dealt to."""
@@ -40,90 +45,114 @@ def value_weights(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
     )
 
 
+def _first_cell(y: Column) -> Column:
+    """A whole number that does not decrease when ``y`` increases, of a few ten thousand in all.
+
+    Logarithms of doubles do not decrease when these increase, rounded as they are.
+    """
+    # The least double has a logarithm of -1074, an infinite one counts as 1025.
+    size = F.least(F.log2(F.abs(y)), F.lit(1025.0)) + 1100
+    cell = F.floor(size * OCTAVE_CELLS)
+    return F.when(y > 0, cell).when(y < 0, -cell).otherwise(F.lit(0)).cast("long")
+
+
+def _cell_within(y: Column, low: Column, high: Column, cells: int) -> Column:
+    """The number of the cell among ``cells`` equal ones from ``low`` to ``high``, both finite or equal."""
+    share = (y - low) * cells / F.nullif(high - low, F.lit(0.0))
+    return F.coalesce(F.least(F.floor(share), F.lit(cells - 1)), F.lit(0)).cast("long")
+
+
+def _holding(cells: DataFrame, within: Sequence[str], cell: str, targets: Column) -> DataFrame:
+    """The cells that hold a wanted row, with ``targets`` numbered from the cell's first row.
+
+    ``targets`` are structs with a ``row``, numbered from 0 within ``within``. Cells are added up
+    in the order of ``cell``; their number is bounded, however many rows they have.
+    """
+    up_to = Window.partitionBy(*within).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("_through") - F.col("_n")
+    here = F.transform(
+        F.filter(targets, lambda t: (t["row"] >= first) & (t["row"] < F.col("_through"))),
+        lambda t: t.withField("row", t["row"] - first),
+    )
+    return (
+        cells.withColumn("_through", F.sum("_n").over(up_to))
+        .withColumn("_targets", here)
+        .where(F.size("_targets") > 0)
+        .drop("_through", "_n")
+    )
+
+
+def _totals(values: DataFrame, keys: Sequence[str], *others: Column) -> DataFrame:
+    return values.groupBy(*keys).agg(
+        F.sum("n").alias("_n"), F.min("y").alias("_low"), F.max("y").alias("_high"), *others
+    )
+
+
+def _inside(values: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of the given cells, with what these carry."""
+    left, right = salted(values).alias("left"), for_all_salts(cells).alias("right")
+    same = reduce(and_, [F.col(f"left.{name}") == F.col(f"right.{name}") for name in (*keys, SALT)])
+    return left.join(right, same).select(
+        *[F.col(f"left.{name}") for name in keys], "y", "n", *[F.col(f"right.{c}") for c in ("_low", "_high", "_targets")]
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     y: str,
     probs: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``y`` per group, as columns ``q0``, ``q1``, ...
 
-    Rows without a group are left out. The quantile at position
-    ``p * (rows - 1)`` of the sorted group is found in two steps. A mergeable
-    sketch gives each quantile a lower and an upper bracket that surely enclose
-    it; rows below the bracket are only counted. The values inside it, a few
-    parts in ``accuracy`` of the group, are ranked exactly. Values meet the
-    brackets of their group in ``SALTS`` parts, so that one hot group is no single
-    task; only the values inside a bracket come together. Group columns must not be named ``y``, ``n``, ``i``,
-    ``position``, ``slot`` or ``_salt``.
+    Rows without a group are left out. The quantile at position ``p * (rows - 1)`` of the sorted
+    group lies between two rows, which are found by narrowing down. The values of a
+    group are added up in cells by their size, some ten thousand; the cells that hold a wanted row are cut
+    into ``cells`` equal parts and added up again. Only what is left in the wanted parts is
+    sorted. Values meet the cells of their group in ``SALTS`` parts, so that a hot group or cell is no single
+    task. Group columns must not be named ``y`` or ``n`` or begin with an underscore.
     """
     if not by:
         raise ValueError("exact_quantiles needs at least one group column")
-    slack = 4.0 / accuracy
-    df = df.dropna(subset=list(by))
-    present = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).select(*by, F.col(y).cast("double").alias("y"))
-    low = [max(p - slack, 0.0) for p in probs]
-    high = [min(p + slack, 1.0) for p in probs]
-    sketch = present.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx("y", low + high, accuracy).alias("brackets"),
-    )
-    # The error bound in rows only exceeds the two rows to interpolate between
-    # once the group is large; a small group is ranked as a whole.
-    large = F.col("rows") > F.lit(8 * accuracy)
-    targets = sketch.select(
-        *by,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    (F.lit(float(p)) * (F.col("rows") - 1)).alias("position"),
-                    F.when(large & F.lit(low[i] > 0), F.col("brackets")[i]).alias("low"),
-                    F.when(
-                        large & F.lit(high[i] < 1), F.col("brackets")[len(probs) + i]
-                    ).alias("high"),
-                )
-                for i, p in enumerate(probs)
-            ]
-        ).alias("targets"),
+    values = value_weights(df.dropna(subset=list(by)), by, y)
+    values = values.withColumn("_c0", _first_cell(F.col("y")))
+    position = lambda p: F.lit(float(p)) * (F.col("_rows") - 1)
+    targets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(side).alias("side"),
+                (position(p) - F.floor(position(p))).alias("share"),
+                (F.floor if side == 0 else F.ceil)(position(p)).cast("long").alias("row"),
+            )
+            for i, p in enumerate(probs)
+            for side in (0, 1)
+        ]
     )
-    targets = for_all_salts(targets).alias("targets")
-    weights = salted(value_weights(df, by, y)).alias("weights")
-    same_group = reduce(
-        and_, [F.col(f"weights.{name}") == F.col(f"targets.{name}") for name in (*by, SALT)]
-    )
-    value, target = F.col("y"), F.col("target")
-    below = F.coalesce(value < target["low"], F.lit(False))
-    above = F.coalesce(value > target["high"], F.lit(False))
-    # Values below a bracket share the null slot, which sorts first; they only
-    # shift the row numbers of the values inside. Values above are not needed.
-    slots = (
-        weights.join(targets, same_group)
-        .select(*[F.col(f"weights.{name}") for name in by], "y", "n", F.explode("targets").alias("target"))
-        .where(~above)
-        .groupBy(*by, target["i"].alias("i"), target["position"].alias("position"),
-                 F.when(~below, value).alias("slot"))
-        .agg(F.sum("n").alias("n"))
-    )
-    up_to = (
-        Window.partitionBy(*by, "i")
-        .orderBy(F.asc_nulls_first("slot"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Row numbers, from 0, that a value covers in the sorted group.
-    last = F.col("through") - 1
-    first = F.col("through") - F.col("n")
-    lower_row, upper_row = F.floor("position"), F.ceil("position")
-    value_at = lambda row: F.max(F.when(row.between(first, last), F.col("slot")))
+    totals = _totals(values, [*by, "_c0"]).withColumn("_rows", F.sum("_n").over(Window.partitionBy(*by)))
+    wanted = _holding(totals, by, "_c0", targets).drop("_rows")
+    inside = _inside(values, wanted, [*by, "_c0"])
+    inside = inside.withColumn("_c1", _cell_within(F.col("y"), F.col("_low"), F.col("_high"), cells))
+    keys = [*by, "_c0", "_c1"]
+    totals = _totals(inside, keys, F.first("_targets").alias("_of_cell"))
+    wanted = _holding(totals, [*by, "_c0"], "_c1", F.col("_of_cell")).drop("_of_cell")
+    inside = _inside(inside.select(*keys, "y", "n"), wanted, keys)
+    up_to = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = F.col("_through")
     found = (
-        slots.withColumn("through", F.sum("n").over(up_to))
-        .groupBy(*by, "i", "position")
-        .agg(value_at(lower_row).alias("lower"), value_at(upper_row).alias("upper"))
-    )
-    interpolated = F.col("lower") + (F.col("upper") - F.col("lower")) * (
-        F.col("position") - F.floor("position")
-    )
-    return found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("i") == i, interpolated)).alias(f"q{i}") for i in range(len(probs))]
+        inside.withColumn("_through", F.sum("n").over(up_to))
+        .select(
+            *by,
+            "y",
+            F.inline(F.filter("_targets", lambda t: (t["row"] < through) & (t["row"] >= through - F.col("n")))),
+        )
+        .groupBy(*by)
     )
+
+    def quantile(i: int) -> Column:
+        lower, upper = (F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("y"))) for side in (0, 1))
+        share = F.max(F.when(F.col("i") == i, F.col("share")))
+        return F.when(lower == upper, lower).otherwise(lower + (upper - lower) * share)
+
+    return found.agg(*[quantile(i).alias(f"q{i}") for i in range(len(probs))])

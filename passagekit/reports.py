@@ -1148,6 +1148,6 @@ def quantity_box_with_nan(spark, sf_dir):
         FROM ({_PASSAGES}) p WHERE exit_heading IS NOT NULL GROUP BY geofence""",
 )
 def headings_by_bracket(spark, sf_dir):
-    # A coarse sketch, so that groups of this size are bracketed.
-    found = exact_quantiles(_all_passages(spark, sf_dir), ["geofence"], "exit_heading", (0.25, 0.5, 0.9), accuracy=40)
+    # Few cells, so that every cut leaves several values.
+    found = exact_quantiles(_all_passages(spark, sf_dir), ["geofence"], "exit_heading", (0.25, 0.5, 0.9), cells=3)
     return found.select("geofence", *[F.round(q, 6).alias(name) for q, name in (("q0", "q1"), ("q1", "median"), ("q2", "q9"))])

@@ -1,4 +1,7 @@
 import datetime as dt
+import math
+import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -146,11 +149,11 @@ def _frame(spark):
     return frame, spark.createDataFrame(frame.sample(frac=1, random_state=1), "g string, y double")
 
 
-@pytest.mark.parametrize("accuracy", [50, 200, 10_000])
-def test_quantiles_are_exact(spark, accuracy):
+@pytest.mark.parametrize("cells", [1, 7, 2**20])
+def test_quantiles_are_exact(spark, cells):
     frame, df = _frame(spark)
     probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df.repartition(8), ["g"], "y", probs, accuracy).collect()
+    got = exact_quantiles(df.repartition(8), ["g"], "y", probs, cells).collect()
     expected = frame.groupby("g").y.quantile(probs)
     assert len(got) == 5
     for row in got:
@@ -158,6 +161,47 @@ def test_quantiles_are_exact(spark, accuracy):
             assert row[f"q{i}"] == pytest.approx(expected[row.g][p], abs=1e-12), (row.g, p)
 
 
+def test_quantiles_of_any_doubles_are_exact(spark):
+    """Signs, zeros, the least and greatest doubles, neighbours of a double, infinite values, ties."""
+    rng = random.Random(6)
+    close = [1.0]
+    for _ in range(300):
+        close.append(math.nextafter(close[-1], 2.0))
+    groups = {
+        "wide": [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1074, 1023) for _ in range(500)],
+        "close": close * 3,
+        "edges": [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308] * 5,
+        "ends": [float("inf"), float("-inf"), 1.0, 2.0, 3.0],
+        "one": [4.0],
+        "ties": [2.5] * 1000 + [7.0],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "y", probs).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        values = sorted(values)
+        for i, p in enumerate(probs):
+            at = p * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            wanted = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert got[g][f"q{i}"] == wanted or (wanted != wanted and math.isnan(got[g][f"q{i}"])), (g, p)
+
+
+def test_quantiles_sort_values_within_cells_only(spark):
+    """Windows keyed by the group alone see totals of cells; values are sorted within a cell of a cell."""
+    df = spark.range(1000).selectExpr("IF(id % 3 = 0, 'cool', 'hot') AS g", "CAST(id AS DOUBLE) AS y")
+    plan = exact_quantiles(df, ["g"], "y", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"Window \[sum\((\w+)#\w+\) windowspecdefinition\((.*?), specifiedwindowframe", plan)
+    assert {summed for summed, _ in windows} == {"n", "_n"}
+    for summed, keys in windows:
+        if summed == "n":
+            assert "_c0" in keys and "_c1" in keys and re.search(r"\by#\d+ ASC", keys)
+        else:
+            assert not re.search(r"\by#\d+ ASC", keys)
+
+
 def test_box_summary(spark):
     frame, df = _frame(spark)
     boxes = {r.g: r for r in charts.box_summary(df, "g", "y").collect()}
