@@ -68,12 +68,10 @@ def match_cargo(
     passages to those of its first to last date; cargo that these cannot reach is
     left out at the scan.
 
-    The distance depends on calendar days only. Both sides are first reduced to
-    their distinct vessel days, which the calendar bounds however many rows a
-    vessel has, and one pass over these days in each direction finds the
-    nearest cargo day without comparing pairs. Whole rows are only ranked
-    within one vessel day that some passage needs, after each task has kept its own
-    best.
+    The distance depends on calendar days only. Cargo is first reduced to the best row of each vessel
+    day and passages to their days, which the calendar bounds however many rows a
+    vessel has. Both lie on one timeline per vessel, on which one pass in each direction carries the
+    nearest cargo row along, so that no pairs are compared and cargo is moved once.
     """
     if date_col not in JOIN_DATES:
         raise ValueError(f"unknown date column {date_col!r}, expected one of {JOIN_DATES}")
@@ -96,34 +94,22 @@ def match_cargo(
                 as_date(between[1]) + reach,
             )
         )
-    cargo_day = F.to_date(date_col)
-    cargo_days = candidates.select(
-        F.col("vessel_imo").alias("vessel_key"), cargo_day.alias("day")
-    ).distinct()
     others = [name for name in PASSAGE_COLUMNS if name not in partition_by]
     passage_order = list(dict.fromkeys([*passage_tie, *others]))
     single = _first_per_group(passages, partition_by, passage_order)
-    passage_days = (
-        single.select("vessel_key", F.to_date("passage_time").alias("day")).dropna().distinct()
-    )
-    nearest = _nearest_days(passage_days, cargo_days, max_days)
+    passage_days = single.select("vessel_key", F.to_date("passage_time").alias("day")).dropna().distinct()
 
     cargo_order = list(dict.fromkeys([*cargo_tie, *CARGO_COLUMNS]))
-    # Wide rows meet the days that are needed before any of them is sorted.
-    needed = nearest.select(F.col("vessel_key").alias("vessel_imo"), F.col("day").alias("cargo_day"))
-    reached = candidates.withColumn("cargo_day", cargo_day).join(
-        needed.distinct(), ["vessel_imo", "cargo_day"], "left_semi"
+    dated = candidates.withColumn("day", F.to_date(date_col))
+    cargo_days = _first_per_group(dated, ["vessel_imo", "day"], cargo_order).select(
+        F.col("vessel_imo").alias("vessel_key"),
+        "day",
+        # As a struct, rows compare by these columns in order, nulls first.
+        F.struct(*[F.col(f"`{name}`") for name in cargo_order]).alias("cargo"),
+    )
+    winners = _nearest_cargo(passage_days, cargo_days, max_days).select(
+        "vessel_key", "passage_day", "gap", *[F.col(f"cargo.`{name}`") for name in CARGO_COLUMNS]
     )
-    best_of_day = _first_per_group(reached, ["vessel_imo", "cargo_day"], cargo_order)
-    # Two days tie if cargo lies equally far before and after the passage.
-    winners = _first_per_group(
-        nearest.join(
-            best_of_day,
-            (F.col("vessel_key") == F.col("vessel_imo")) & (F.col("day") == F.col("cargo_day")),
-        ),
-        ["vessel_key", "passage_day"],
-        cargo_order,
-    ).select("vessel_key", "passage_day", "gap", *[f"`{name}`" for name in CARGO_COLUMNS])
 
     single, winners = single.alias("single"), winners.alias("winners")
     matched = single.join(
@@ -146,8 +132,8 @@ def _first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("_rank", F.row_number().over(ranking)).where("_rank = 1").drop("_rank")
 
 
-def _nearest_days(passage_days: DataFrame, cargo_days: DataFrame, max_days: int) -> DataFrame:
-    """The cargo days nearest to each passage day, one or two, and their ``gap``."""
+def _nearest_cargo(passage_days: DataFrame, cargo_days: DataFrame, max_days: int) -> DataFrame:
+    """The cargo row nearest to each passage day and their ``gap``; of two as near, the lesser row."""
     timeline = cargo_days.withColumn("cargo_day", F.col("day")).unionByName(
         passage_days.withColumn("passage_day", F.col("day")), allowMissingColumns=True
     )
@@ -157,21 +143,18 @@ def _nearest_days(passage_days: DataFrame, cargo_days: DataFrame, max_days: int)
     so_far = (Window.unboundedPreceding, Window.currentRow)
     upwards = vessel.orderBy("day", cargo_first).rowsBetween(*so_far)
     downwards = vessel.orderBy(F.desc("day"), cargo_first).rowsBetween(*so_far)
-    sides = F.array_compact(F.array("before", "after"))
-    return (
-        timeline.withColumn("before", F.max("cargo_day").over(upwards))
-        .withColumn("after", F.min("cargo_day").over(downwards))
+    found = F.when(F.col("cargo_day").isNotNull(), F.struct("cargo_day", "cargo"))
+    reached = (
+        timeline.withColumn("_found", found)
+        .withColumn("before", F.last("_found", ignorenulls=True).over(upwards))
+        .withColumn("after", F.last("_found", ignorenulls=True).over(downwards))
         .where(F.col("passage_day").isNotNull())
-        .withColumn("gap", F.least(F.date_diff("passage_day", "before"), F.date_diff("after", "passage_day")))
-        .where(F.col("gap") <= max_days)
-        .select(
-            "vessel_key",
-            "passage_day",
-            "gap",
-            F.explode(
-                F.array_distinct(
-                    F.filter(sides, lambda day: F.abs(F.date_diff(day, "passage_day")) == F.col("gap"))
-                )
-            ).alias("day"),
-        )
     )
+    before = F.date_diff("passage_day", F.col("before.cargo_day"))
+    after = F.date_diff(F.col("after.cargo_day"), "passage_day")
+    gap = F.least(before, after)
+    # The lesser of two rows as near; where they are one row, it is either.
+    nearest = F.least(
+        F.when(before == gap, F.col("before.cargo")), F.when(after == gap, F.col("after.cargo"))
+    )
+    return reached.where(gap <= max_days).select("vessel_key", "passage_day", gap.alias("gap"), nearest.alias("cargo"))

@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, NumericType
 
 from passagekit.operators.quantiles import (
     SALT,
+    SALTS,
     SKETCH_ACCURACY,
     exact_quantiles,
     for_all_salts,
@@ -99,11 +100,29 @@ def value_counts(df: DataFrame, x: str, null_label: NullLabel = None) -> DataFra
     )
 
 
+def _beside_total(rolled: DataFrame, *totals: str) -> DataFrame:
+    """Rows of a rollup by one key, each with the given columns of the row for all, prefixed with ``all_``.
+
+    ``rolled`` has ``_all``, 1 in that row alone, which stays. It is repeated for each of ``SALTS`` parts that the others
+    are dealt to, so that it meets them without a second look at the input.
+    """
+    is_all = F.col("_all") == 1
+    parts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    own = F.array(F.pmod(F.xxhash64(*[_q(c) for c in rolled.columns]), F.lit(SALTS)).cast("int"))
+    dealt = rolled.withColumn(SALT, F.explode(F.when(is_all, parts).otherwise(own)))
+    part = Window.partitionBy(SALT)
+    beside = {f"all_{name}": F.max(F.when(is_all, _q(name))).over(part) for name in totals}
+    return dealt.withColumns(beside).where(~is_all | (F.col(SALT) == 0)).drop(SALT)
+
+
 def value_shares(df: DataFrame, x: str, null_label: NullLabel = None) -> DataFrame:
-    """Value counts with each value's share of all counted rows."""
-    counts = _keyed(df, [x], null_label).groupBy(_q(x)).count()
-    total = counts.agg(F.sum("count")).scalar()
-    return counts.withColumn("share", F.col("count") / total).orderBy(F.desc("count"), _q(x))
+    """Value counts with each value's share of all counted rows; counts and total come from one rollup."""
+    counts = (
+        _keyed(df, [x], null_label).rollup(_q(x)).agg(F.count(F.lit(1)).alias("count"), F.grouping(_q(x)).alias("_all"))
+    )
+    shared = _beside_total(counts, "count").where("_all = 0")
+    share = F.col("count") / F.col("all_count")
+    return shared.select(_q(x), "count", share.alias("share")).orderBy(F.desc("count"), _q(x))
 
 
 def series_values(df: DataFrame, color: str, null_label: NullLabel = None) -> DataFrame:
@@ -119,38 +138,33 @@ def histogram(
     Bins run from 1; each one is closed below and the last one also above.
     Every bin has a row, empty ones with count 0. Missing and infinite numbers
     are in no bin. A column that is not numeric gives :func:`value_counts`.
-    The table is reduced to its distinct values once; range and bins come from
-    these.
+    One rollup gives the counts of distinct values and the range of all, so the table is read once.
     """
     if not _is_numeric(df, x):
         return value_counts(df, x, null_label)
-    values = (
-        df.select(_finite(_q(x)).alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(_finite(_q(x)).alias("v")).where(F.col("v").isNotNull())
+    value = F.col("v")
+    rolled = (
+        values.select("v", value.alias("w"))
+        .rollup("v")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.grouping("v").alias("_all"))
     )
-    span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    lo, spread = F.col("span.lo"), F.col("span.hi") - F.col("span.lo")
+    ranged = _beside_total(rolled, "lo", "hi")
+    lo, spread = F.col("all_lo"), F.col("all_hi") - F.col("all_lo")
     place = F.when(spread == 0, F.lit(1)).otherwise(
-        F.least(F.floor((F.col("v") - lo) * bins / F.nullif(spread, F.lit(0.0))) + 1, F.lit(bins))
-    )
-    counts = (
-        values.withColumn("span", span)
-        .groupBy(place.cast("int").alias("bin"))
-        .agg(F.sum("n").alias("count"))
+        F.least(F.floor((value - lo) * bins / F.nullif(spread, F.lit(0.0))) + 1, F.lit(bins))
     )
+    # The row for all stands in every bin and counts for nothing, so that empty bins are there.
+    every = F.sequence(F.lit(1), F.lit(bins))
+    placed = ranged.withColumn("bin", F.explode(F.when(F.col("_all") == 1, every).otherwise(F.array(place.cast("int")))))
+    lo, spread = F.max("all_lo"), F.max("all_hi") - F.max("all_lo")
     return (
-        df.sparkSession.range(1, bins + 1)
-        .select(F.col("id").cast("int").alias("bin"), span.alias("span"))
-        .join(counts, "bin", "left")
-        .select(
-            "bin",
-            (lo + spread * (F.col("bin") - 1) / bins).alias("bin_start"),
-            (lo + spread * F.col("bin") / bins).alias("bin_end"),
-            F.coalesce("count", F.lit(0)).alias("count"),
+        placed.groupBy("bin")
+        .agg(
+            (lo + spread * (F.first("bin") - 1) / bins).alias("bin_start"),
+            (lo + spread * F.first("bin") / bins).alias("bin_end"),
+            F.sum(F.when(F.col("_all") == 0, F.col("n")).otherwise(F.lit(0))).alias("count"),
         )
-        .where(F.col("bin_start").isNotNull())
         .orderBy("bin")
     )
 
@@ -260,6 +274,18 @@ def chart_data(
     return box_summary(df, x, y, color, null_label=null_label)
 
 
+def _page_order(df: DataFrame, sort: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The given sort columns and, after them, all others that can be ordered."""
+    named = {name for name, _ in sort}
+    others = [f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, MapType)]
+    return [*sort, *((name, "asc") for name in others)]
+
+
+def _sorted(df: DataFrame, order: Sequence[tuple[str, str]]) -> DataFrame:
+    by = {"asc": F.asc_nulls_last, "desc": F.desc_nulls_last}
+    return df.orderBy(*[by[direction](_q(name)) for name, direction in order])
+
+
 def table_page(
     df: DataFrame,
     filter: Column | str | None = None,
@@ -270,20 +296,45 @@ def table_page(
     """One page of a table after an optional filter and multi-column sort.
 
     ``sort`` lists columns with ``asc`` or ``desc``; nulls come last. All other
-    columns that can be ordered follow, so a page is the same in every run. To reach
-    far pages of a long table filter on the last row seen instead of a page
-    number, since every row up to the page's end has to be ordered.
+    columns that can be ordered follow, so a page is the same in every run. Every row up to the page's
+    end has to be ordered; :func:`page_after` reaches far pages of a long table.
     """
     rows = df if filter is None else df.where(filter)
-    order = {"asc": F.asc_nulls_last, "desc": F.desc_nulls_last}
-    sorted_by = {name for name, _ in sort}
-    others = [
-        field.name
-        for field in rows.schema.fields
-        if field.name not in sorted_by and not isinstance(field.dataType, MapType)
-    ]
-    rows = rows.orderBy(
-        *[order[direction](_q(name)) for name, direction in sort],
-        *[F.asc_nulls_last(_q(name)) for name in others],
-    )
-    return rows.offset(page * size).limit(size)
+    return _sorted(rows, _page_order(rows, sort)).offset(page * size).limit(size)
+
+
+def page_after(
+    df: DataFrame,
+    last: Row | Mapping | None,
+    filter: Column | str | None = None,
+    sort: Sequence[tuple[str, str]] = (),
+    size: int = 10,
+) -> DataFrame:
+    """The page that begins after ``last``, the last row seen, in the order of :func:`table_page`.
+
+    ``last`` has a value for each column that can be ordered, and None asks for the first page. Each page costs as the
+    first one: rows up to ``last`` are filtered out, and a filter on the leading sort column reaches the
+    scan. Rows equal to ``last`` in all columns count as seen.
+    """
+    rows = df if filter is None else df.where(filter)
+    order = _page_order(rows, sort)
+    if last is not None:
+        seen = last.asDict() if isinstance(last, Row) else dict(last)
+        types = {f.name: f.dataType for f in rows.schema.fields}
+        known = {name: F.lit(seen[name]).cast(types[name]) for name, _ in order}
+        # From the last column on: later in this one, or equal in it and later in those after it.
+        later = F.lit(False)
+        for name, direction in reversed(order):
+            column = _q(name)
+            if seen[name] is None:
+                later = column.isNull() & later
+                continue
+            beyond = (column > known[name]) if direction == "asc" else (column < known[name])
+            later = beyond | column.isNull() | ((column == known[name]) & later)
+        rows = rows.where(F.coalesce(later, F.lit(False)))
+        # Implied by it, and simple enough for a scan.
+        name, direction = order[0]
+        if seen[name] is not None:
+            bound = (_q(name) >= known[name]) if direction == "asc" else (_q(name) <= known[name])
+            rows = rows.where(bound | _q(name).isNull())
+    return _sorted(rows, order).limit(size)

@@ -19,8 +19,10 @@ from passagekit.sources.geojson import geofence_payload
 
 REQUIRED_FIELDS = ("geofence_name", "port_name", "wkt_coordinates")
 IDLE_SRID = 5326
-FEATURES_PER_COLLECTION = 10_000
-_HASH_CELLS = 4096
+# Bytes of features after which a collection ends.
+COLLECTION_BYTES = 64 * 2**20
+# Hexadecimal digits of a digest that make a cell.
+_CELL_DIGITS = 3
 
 
 def wkt_to_geojson(
@@ -113,29 +115,32 @@ def geofence_features(geofences: DataFrame, wkt: str = "wkt_coordinates") -> Dat
 
 
 def feature_collections(
-    features: DataFrame, max_features: int = FEATURES_PER_COLLECTION
+    features: DataFrame, max_features: int | None = None, max_bytes: int = COLLECTION_BYTES
 ) -> DataFrame:
     """Pack ``feature`` texts into feature collections, one JSON document per row.
 
-    Output columns are ``part``, ``n_features`` and ``collection``. Up to
-    ``max_features`` features give one document, more give several.
+    Output columns are ``part``, ``parts``, ``n_features`` and ``collection``. Features are taken in the
+    order of their MD5 digest. A collection ends with the feature that brings it to
+    ``max_bytes`` of feature text, whatever their number, or after ``max_features`` features if that is given. ``part`` counts from 0
+    and ``parts`` is the last part plus one; a feature that is longer than ``max_bytes`` has a part of its own
+    and leaves the numbers unused that it spans.
     """
-    present = features.where(F.col("feature").isNotNull()).select(
-        F.xxhash64("feature").alias("_hash"), "feature"
-    )
-    parts = bounded_parts(
+    present = features.where(F.col("feature").isNotNull()).select(F.md5("feature").alias("_digest"), "feature")
+    size = F.lit(1) if max_features is not None else F.octet_length("feature")
+    placed = bounded_parts(
         present,
         by=(),
-        order=("_hash", "feature"),
-        # Most significant bits, so that cells follow the order.
-        cell=F.shiftright("_hash", 64 - _HASH_CELLS.bit_length() + 1),
-        max_rows=max_features,
-    )
-    texts = F.flatten(
-        F.collect_list(F.array_repeat(F.col("feature"), F.col("copies")))
+        order=("_digest", "feature"),
+        # Most significant digits, so that cells follow the order.
+        cell=F.conv(F.substring("_digest", 1, _CELL_DIGITS), 16, 10).cast("int"),
+        max_rows=max_bytes if max_features is None else max_features,
+        size=size,
     )
-    return parts.groupBy("part").agg(texts.alias("_features")).select(
+    in_order = F.array_sort(F.collect_list(F.struct("_digest", "feature", "copies")))
+    texts = F.flatten(F.transform(in_order, lambda f: F.array_repeat(f["feature"], f["copies"])))
+    return placed.groupBy("part", "parts").agg(texts.alias("_features")).select(
         "part",
+        "parts",
         F.size("_features").alias("n_features"),
         F.concat(
             F.lit('{"type":"FeatureCollection","features":['),

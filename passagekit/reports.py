@@ -128,6 +128,18 @@ def _register_frequencies() -> None:
         def entries(spark, sf_dir, period=period):
             return entries_per_period(_events(spark, sf_dir), period, by=("geofence",))
 
+        step = {"D": "1 DAY", "W": "7 DAY", "M": "1 MONTH"}[period]
+        label = _PERIODS[period][1].replace(_PERIODS[period][0], "start") if period != "D" else "strftime(start, '%Y-%m-%d')"
+
+        @report(f"{name}_filled", f"""
+            WITH counted AS ({check}),
+            days AS (SELECT geofence, CAST(unnest(generate_series(MIN(period_start), MAX(period_start), INTERVAL {step})) AS DATE) AS start
+                     FROM counted GROUP BY geofence)
+            SELECT days.geofence, start AS period_start, {label} AS period_label, coalesce("count", 0) AS "count"
+            FROM days LEFT JOIN counted ON counted.geofence = days.geofence AND period_start = start""")
+        def filled(spark, sf_dir, period=period):
+            return entries_per_period(_events(spark, sf_dir), period, by=("geofence",), fill_gaps=True)
+
     for name, period in (("asset_entries_daily", "D"), ("asset_entries_weekly", "W")):
         check = _frequency_check(*_PERIODS[period], "{asset_events}", "start_time", "subtype")
 
@@ -679,6 +691,23 @@ def cargo_page(spark, sf_dir):
     ).select("vessel_key", "passage_time", "quantity", "grade")
 
 
+@report(
+    "cargo_page_after",
+    f"""SELECT vessel_key, passage_time, quantity, grade FROM ({_TABLE}) m
+        WHERE quantity >= 10
+        ORDER BY quantity DESC NULLS LAST, vessel_key ASC NULLS LAST, passage_time ASC NULLS LAST
+        LIMIT 10 OFFSET 20""",
+)
+def cargo_page_after(spark, sf_dir):
+    """The page of ``cargo_page``, found from the last row of the page before."""
+    table = _table(spark, sf_dir)
+    order = {"filter": "quantity >= 10", "sort": [("quantity", "desc"), ("vessel_key", "asc"), ("passage_time", "asc")]}
+    before = charts.table_page(table, page=1, **order).collect()
+    return charts.page_after(table, before[-1] if before else None, **order).select(
+        "vessel_key", "passage_time", "quantity", "grade"
+    )
+
+
 # ---------------------------------------------------------------- geofences
 
 
@@ -762,27 +791,38 @@ def geofence_features(spark, sf_dir):
     return geofences.geofence_features(_geofences(spark, sf_dir)).select("geofence_name", "feature")
 
 
-@report(
-    "geofence_feature_collections",
-    f"""SELECT CAST(0 AS BIGINT) AS part, COUNT(*) AS n_features,
-               CAST(SUM(length(feature)) + COUNT(*) - 1 + length('{{"type":"FeatureCollection","features":[]}}')
-                    AS BIGINT) AS n_chars,
-               md5(string_agg(md5(feature), ',' ORDER BY md5(feature))) AS features_md5
-        FROM ({_FEATURES_SQL}) f HAVING COUNT(*) <= 10000""",
-)
-def geofence_feature_collections(spark, sf_dir):
-    features = geofences.geofence_features(_geofences(spark, sf_dir))
-    packed = geofences.feature_collections(features)
-    # The features are read back from the text of the document.
-    within = F.expr("substring(collection, 41, length(collection) - 42)")
-    each = F.split(within, r'(?<=\}\}),(?=\{"type":"Feature")')
-    digests = F.array_sort(F.transform(each, F.md5))
-    return packed.select(
-        "part",
-        F.col("n_features").cast("bigint").alias("n_features"),
-        F.length("collection").cast("bigint").alias("n_chars"),
-        F.md5(F.array_join(digests, ",")).alias("features_md5"),
-    )
+def _collections_check(max_bytes: int) -> str:
+    """Features in the order of their digests; a part holds those that begin within its bytes."""
+    return f"""
+        WITH placed AS (
+            SELECT feature, md5(feature) AS digest, SUM(strlen(feature)) OVER whole AS total,
+                   SUM(strlen(feature)) OVER so_far - strlen(feature) AS begins
+            FROM ({_FEATURES_SQL}) f
+            WINDOW whole AS (), so_far AS (ORDER BY md5(feature), geofence_name ROWS UNBOUNDED PRECEDING))
+        SELECT CAST(begins // {max_bytes} AS BIGINT) AS part, CAST((MIN(total) - 1) // {max_bytes} + 1 AS BIGINT) AS parts,
+               COUNT(*) AS n_features,
+               md5('{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY digest) || ']}}') AS document_md5
+        FROM placed GROUP BY begins // {max_bytes}"""
+
+
+def _register_collections() -> None:
+    for name, max_bytes in (
+        ("geofence_feature_collections", geofences.COLLECTION_BYTES),
+        ("geofence_small_collections", 20_000),
+    ):
+
+        @report(name, _collections_check(max_bytes))
+        def collections(spark, sf_dir, max_bytes=max_bytes):
+            features = geofences.geofence_features(_geofences(spark, sf_dir))
+            return geofences.feature_collections(features, max_bytes=max_bytes).select(
+                "part",
+                "parts",
+                F.col("n_features").cast("bigint").alias("n_features"),
+                F.md5("collection").alias("document_md5"),
+            )
+
+
+_register_collections()
 
 
 _TRIMMED = """

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import random
 
 import pytest
@@ -109,12 +110,15 @@ def test_passages_outside_the_known_dates_take_no_part(spark):
     )
 
 
-def test_wide_cargo_meets_the_needed_days_before_it_is_sorted(spark):
+def test_cargo_is_moved_once_and_not_joined_again(spark):
+    """Each vessel day's best row lies on the timeline, so cargo is read once and only passages are joined."""
     passages, cargo = _data(1)
-    matched = match_cargo(spark.createDataFrame(passages, PASSAGES), spark.createDataFrame(cargo, CARGO_FLOWS))
-    plan = matched._jdf.queryExecution().optimizedPlan().toString()
-    wide = [line for line in plan.splitlines() if "Window" in line and "via_geofence" in line]
-    assert wide and "LeftSemi" in plan.split(wide[-1])[1]
+    psg, flows = spark.createDataFrame(passages, PASSAGES), spark.createDataFrame(cargo, CARGO_FLOWS)
+    plan = match_cargo(psg, flows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [vessel_imo") == 1
+    assert "LeftSemi" not in plan and len(re.findall(r"Join \w+", plan)) == 1
+    executed = match_cargo(psg, flows)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", executed.split("== Initial Plan ==")[-1])) <= 8
 
 
 def test_tolerance_is_inclusive_on_both_sides(spark):

@@ -238,3 +238,52 @@ def test_entries_of_all_and_one(spark):
         ("B", "2024-01-08/2024-01-14", 1),
     ]
     assert _rows(entries_per_period(df, "M").drop("period_start")) == [("2024-01", 3)]
+
+
+def test_gaps_are_filled_within_each_group(spark):
+    rows = [("A", dt.datetime(2024, 1, 1)), ("A", dt.datetime(2024, 1, 4, 5)), (None, dt.datetime(2024, 2, 29)),
+            (None, dt.datetime(2024, 3, 2)), ("B", None), ("C", dt.datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "geofence string, entry_time timestamp")
+    filled = entries_per_period(df, "D", by=("geofence",), fill_gaps=True)
+    assert [(r.geofence, r.period_label, r["count"]) for r in filled.collect()] == [
+        (None, "2024-02-29", 1), (None, "2024-03-01", 0), (None, "2024-03-02", 1),
+        ("A", "2024-01-01", 1), ("A", "2024-01-02", 0), ("A", "2024-01-03", 0), ("A", "2024-01-04", 1), ("C", "2024-01-02", 1),
+    ]
+    months = entries_per_period(df, "M", fill_gaps=True)
+    assert [(r.period_label, r["count"]) for r in months.collect()] == [("2024-01", 3), ("2024-02", 1), ("2024-03", 1)]
+    weeks = entries_per_period(df.where("geofence IS NULL OR geofence = 'A'"), "W", fill_gaps=True)
+    assert [r["count"] for r in weeks.collect()] == [2, 0, 0, 0, 0, 0, 0, 0, 2]
+    assert entries_per_period(df.limit(0), "W", by=("geofence",), fill_gaps=True).collect() == []
+
+
+@pytest.mark.parametrize("sort", [[("a", "asc"), ("b", "desc")], [("b", "desc")], []])
+def test_pages_by_the_last_row_seen_equal_pages_by_number(spark, sort):
+    """With ties, nulls and not a number, as often as a page begins among equal keys."""
+    rng = random.Random(2)
+    some = [None, 1.0, 2.0, 2.0, float("nan"), float("-inf")]
+    rows = [(rng.choice(["x", "y", None]), rng.choice(some), i) for i in range(57)]
+    df = spark.createDataFrame(rows, "a string, b double, i int")
+    last, pages = None, []
+    for number in range(9):
+        page = charts.page_after(df, last, "i % 5 <> 0", sort, size=7).collect()
+        assert repr(page) == repr(charts.table_page(df, "i % 5 <> 0", sort, number, 7).collect())
+        pages += page
+        last = page[-1] if page else last
+    assert len(pages) == sum(i % 5 != 0 for i in range(57))
+    assert charts.page_after(df.limit(0), None, sort=sort).collect() == []
+
+
+def test_a_far_page_is_filtered_before_it_is_ordered(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS a", "id % 7 AS b").write.parquet(str(tmp_path / "t"))
+    page = charts.page_after(spark.read.parquet(str(tmp_path / "t")), {"a": 899, "b": 3}, sort=[("a", "asc")])
+    assert [r.a for r in page.collect()] == list(range(900, 910))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=10" in plan and "GreaterThanOrEqual(a,899)" in plan.split("PushedFilters")[1]
+
+
+def test_shares_and_histograms_read_their_table_once(spark):
+    df = spark.range(100).selectExpr("CAST(id % 7 AS STRING) AS x", "CAST(id AS DOUBLE) AS y")
+    for result in (charts.value_shares(df, "x"), charts.histogram(df, "y")):
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (") == 1 and "scalar-subquery" not in plan
+        assert "SinglePartition" not in result._jdf.queryExecution().executedPlan().toString()

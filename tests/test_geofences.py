@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -170,6 +171,23 @@ def test_collections_are_bounded_and_complete(spark, size):
     assert sorted(found) == sorted(names)
 
 
+@pytest.mark.parametrize("limit", [1, 30, 100, 10_000])
+def test_collections_end_with_the_feature_that_fills_them(spark, limit):
+    features = ["a" * 10, "b" * 25, "c" * 250, "é" * 9] + ["same text"] * 40
+    df = spark.createDataFrame([(f,) for f in features] + [(None,)], "feature string")
+    packed = geofences.feature_collections(df, max_bytes=limit).orderBy("part").collect()
+    wanted, begins = {}, 0
+    for text in sorted(features, key=lambda f: (hashlib.md5(f.encode()).hexdigest(), f)):
+        wanted.setdefault(begins // limit, []).append(text)
+        begins += len(text.encode())
+    frame = '{"type":"FeatureCollection","features":[%s]}'
+    assert [(r.part, r.n_features, r.collection) for r in packed] == [
+        (part, len(texts), frame % ",".join(texts)) for part, texts in wanted.items()
+    ]
+    assert {r.parts for r in packed} == {(begins - 1) // limit + 1}
+    assert geofences.feature_collections(df.limit(0)).collect() == []
+
+
 def test_bounded_parts_number_rows_in_order(spark):
     values = [i * 37 % 101 for i in range(300)]
     df = spark.createDataFrame([("k", v) for v in values], "k string, v int")
