@@ -67,7 +67,8 @@ def parse_collections(documents: DataFrame, text: str = "text", on_error: str =
 def read_geojson(spark: SparkSession, path: str, on_error: str = "drop") -> DataFrame:
     """All uploaded documents of a folder as ``file_name``, ``text``, ``collection``.
 
-    Other files are skipped when the folder is listed and never opened.
+    Other files are skipped when the folder is listed and never opened. A document is one
+    value, so it must fit a task; :func:`read_collection_features` reads large ones.
     """
     files = (
         spark.read.option("wholetext", True)
@@ -78,6 +79,41 @@ def read_geojson(spark: SparkSession, path: str, on_error: str = "drop") -> Data
     return parse_collections(files, on_error=on_error)
 
 
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features of files with one JSON feature or geometry in a line, as this library writes them.
+
+    Lines of one file are read by several tasks. The folders' partition columns come first, then the columns of
+    :func:`explode_features`. Lines that are not valid are left out.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "_line")
+    return explode_features(parse_collections(lines, "_line")).drop("_line", "feature_no")
+
+
+def read_collection_features(spark: SparkSession, path: str, opening: str = '{"type":"Feature",') -> DataFrame:
+    """Features of the uploaded collections of a folder, read in pieces, a feature at a time.
+
+    A collection is split where a feature opens, which must be spelled as ``opening`` throughout, as writers of compact JSON
+    do; inside a text it cannot stand, since quotes are escaped there. A file of any size is
+    so read by several tasks, and no more than a feature is in memory at once. Columns are ``file_name``
+    and those of :func:`explode_features` but for the number. Pieces that are not valid are left out.
+    """
+    pieces = (
+        spark.read.option("lineSep", opening)
+        .option("pathGlobFilter", UPLOAD_GLOB)
+        .text(path)
+        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("_piece"))
+    )
+    # What follows a feature, such as the comma before the next one, is not looked at.
+    parsed = F.from_json(F.concat(F.lit(opening), F.col("_piece")), _FEATURE)
+    return (
+        pieces.withColumn("_parsed", parsed)
+        .where(F.col("_parsed.geometry").isNotNull() | F.col("_parsed.properties").isNotNull())
+        .select("file_name", F.struct(F.array("_parsed").alias("features")).alias("collection"))
+        .transform(explode_features)
+        .drop("feature_no")
+    )
+
+
 def explode_features(documents: DataFrame, first_only: bool = False) -> DataFrame:
     """One row per feature with ``feature_no``, ``geometry_type``, ``coordinates``, ``properties``."""
     if first_only:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passagekit.schemas import WKT_KEY, conform
+from passagekit.sources import versions
 
 
 def read_table(
@@ -20,12 +21,13 @@ def read_table(
 ) -> DataFrame:
     """Read a table in any format the session knows, fitted to ``schema`` if given.
 
+    A folder with a manifest (:mod:`passagekit.sources.versions`) is read as of that.
     For ``format="jdbc"`` leave out the path and pass ``url``, ``dbtable`` and,
     so that the read is split over tasks, ``partitionColumn``, ``lowerBound``,
     ``upperBound`` and ``numPartitions``.
     """
     reader = spark.read.format(format).options(**options)
-    table = reader.load() if path is None else reader.load(path)
+    table = reader.load() if path is None else reader.load(versions.paths(spark, path))
     return table if schema is None else conform(table, schema)
 
 

@@ -83,6 +83,64 @@ def test_registry_and_lake_get_the_same_rows(spark, uploads, tmp_path):
     assert len(names) == counts["accepted"] > 0
 
 
+def test_a_batch_that_is_tried_again_adds_nothing_twice(spark, uploads, tmp_path):
+    table, lake = str(tmp_path / "registry"), str(tmp_path / "lake")
+    changing = uploads.where("port_name <> ''").withColumn("geofence_name", F.expr("uuid()"))
+    first = registry.append_geofences(changing, table, batch="monday")
+    # The registry has the batch, the lake has not: as after a failure between the two.
+    assert registry.deploy_geofences(changing, table, lake, batch="monday") == first
+    assert registry.deploy_geofences(changing, table, lake, batch="monday") == first
+    names = sorted(r.geofence_name for r in read_table(spark, table).collect())
+    assert names == sorted(r.external_id for r in read_table(spark, lake).collect())
+    assert len(names) == first["accepted"]
+    registry.deploy_geofences(changing, table, lake, batch="tuesday")
+    assert read_table(spark, table).count() == read_table(spark, lake).count() == 2 * first["accepted"]
+
+
+def test_what_a_failed_append_has_left_is_not_seen(spark, uploads, tmp_path):
+    table = str(tmp_path / "registry")
+    registry.append_geofences(uploads, table, batch="a")
+    broken = uploads.withColumn("port_name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        registry.append_geofences(broken, table, batch="b")
+    uploads.write.parquet(f"{table}/batch-c")
+    assert read_table(spark, table).count() == 2
+    assert registry.append_geofences(uploads, table, batch="b") == {"accepted": 2, "rejected": 2}
+    assert read_table(spark, table).count() == 4
+
+
+def test_a_delete_is_seen_at_once_or_not_at_all(spark, uploads, tmp_path):
+    table = str(tmp_path / "registry")
+    registry.append_geofences(uploads, table)
+    before = read_table(spark, table)
+    keys = spark.createDataFrame([("G1",)], "name string")
+    failing = keys.withColumn("name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        registry.delete_geofences(spark, table, None, failing)
+    assert read_table(spark, table).count() == 2
+    assert registry.delete_geofences(spark, table, None, keys) == {"n_deleted": 1, "n_kept": 1}
+    assert [r.geofence_name for r in read_table(spark, table).collect()] == ["G2"]
+    # A reader that resolved the old version can finish.
+    assert before.count() == 2
+    assert registry.delete_geofences(spark, table, None, keys) == {"n_deleted": 0, "n_kept": 1}
+    registry.append_geofences(uploads, table)
+    assert sorted(r.geofence_name for r in read_table(spark, table).collect()) == ["G1", "G2", "G2"]
+
+
+def test_a_folder_without_a_manifest_keeps_its_rows(spark, uploads, tmp_path):
+    table = str(tmp_path / "plain")
+    accepted, _ = geofences.validate_geofences(uploads)
+    geofences.registry_rows(accepted).write.parquet(table)
+    registry.append_geofences(uploads, table)
+    assert read_table(spark, table, schema=GEOFENCES).count() == 4
+
+
+def test_sinks_use_no_checkpoint():
+    import inspect
+
+    assert "checkpoint" not in inspect.getsource(registry) and "tempfile" not in inspect.getsource(registry)
+
+
 def test_any_root_is_a_collection(spark):
     texts = [
         '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"a":"b"}}',
@@ -233,6 +291,54 @@ def test_read_geojson(spark, folder):
     assert [r[0] for r in names.select(geojson.is_upload(F.col("n"))).collect()] == [True, True, False, False]
 
 
+def test_written_lines_are_read_back_by_several_tasks(spark, tmp_path):
+    features = spark.range(3000).selectExpr(
+        "CONCAT('G', id % 2) AS geofence",
+        """to_json(named_struct('type', 'Feature',
+           'geometry', named_struct('type', 'LineString', 'coordinates', array(array(double(id), 1.5D), array(2D, 3D))),
+           'properties', named_struct('name', CONCAT('v"', id)))) AS feature""",
+    )
+    write_geojson(features.coalesce(1), str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        read = geojson.read_feature_lines(spark, str(tmp_path / "lines"))
+        tasks = read.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 4
+    rows = geojson.line_coordinates(read).collect()
+    assert sorted((r.geofence, r.coordinates[0][0], r.properties["name"]) for r in rows) == sorted(
+        (f"G{i % 2}", float(i), f'v"{i}') for i in range(3000)
+    )
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.txt").write_text('{"type":"Point","coordinates":[1,2]}\n\n{"type":"Fea\n{"other":1}\n')
+    odd = geojson.read_feature_lines(spark, str(tmp_path / "odd"))
+    assert [(r.geometry_type, r.coordinates) for r in odd.collect()] == [("Point", "[1,2]")]
+
+
+def test_a_large_collection_is_read_feature_by_feature(spark, tmp_path):
+    texts = [
+        json.dumps(_feature("Point", [i, 2.5], name=f'{{"type":"Feature",{i}', nested={"a": [1]}), separators=(",", ":"))
+        for i in range(2000)
+    ]
+    frame = '{"type":"FeatureCollection","name":"x","features":[%s],"after":{"type":"Feature"}}'
+    (tmp_path / "big.geojson").write_text(frame % ",\n".join(texts))
+    (tmp_path / "none.json").write_text(frame % "")
+    (tmp_path / "skipped.txt").write_text(frame % texts[0])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        read = geojson.read_collection_features(spark, str(tmp_path))
+        tasks = read.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 4
+    rows = read.collect()
+    assert sorted((r.coordinates, r.properties["name"]) for r in rows) == sorted(
+        (f"[{i},2.5]", f'{{"type":"Feature",{i}') for i in range(2000)
+    )
+    assert {(r.file_name, r.geometry_type) for r in rows} == {("big.geojson", "Point")}
+
+
 def test_features_of_files(spark, folder):
     features = geojson.explode_features(geojson.read_geojson(spark, folder))
     classes = geojson.classify_geometry(features).orderBy("file_name", "feature_no")
