@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from passagekit.functions.dates import day_gap
 
-_BUCKET = "_day_bucket"
+#: The column that stored tables carry.
+BUCKET = "day_bucket_"
 
 
 def _bucket(day_number: Column, width: int) -> Column:
@@ -32,26 +33,43 @@ def day_band_join(
     split at run time by adaptive execution, since nothing after the join
     relies on its partitioning.
     """
-    width = max_days + 1
-    point_day = F.unix_date(F.to_date(points[point_time]))
-    anchor_day = F.unix_date(F.to_date(anchors[anchor_time]))
-    left = points.withColumn(_BUCKET, _bucket(point_day, width)).alias("left_rows")
-    right = anchors.withColumn(
-        _BUCKET,
-        F.explode(
-            F.sequence(_bucket(anchor_day - max_days, width), _bucket(anchor_day + max_days, width))
-        ),
-    ).alias("right_rows")
+    left = point_buckets(points, point_time, max_days)
+    right = anchor_buckets(anchors, anchor_time, max_days)
+    return stored_band_join(left, right, key, point_time, anchor_time, max_days)
+
+
+def point_buckets(points: DataFrame, point_time: str, max_days: int) -> DataFrame:
+    """Points with their one bucket of ``max_days + 1`` days."""
+    return points.withColumn(BUCKET, _bucket(F.unix_date(F.to_date(points[point_time])), max_days + 1))
+
+
+def anchor_buckets(anchors: DataFrame, anchor_time: str, max_days: int) -> DataFrame:
+    """Anchors, once for each of the two or three buckets that their band touches."""
+    day, width = F.unix_date(F.to_date(anchors[anchor_time])), max_days + 1
+    touched = F.sequence(_bucket(day - max_days, width), _bucket(day + max_days, width))
+    return anchors.withColumn(BUCKET, F.explode(touched))
+
+
+def stored_band_join(
+    points: DataFrame, anchors: DataFrame, key: str, point_time: str, anchor_time: str, max_days: int
+) -> DataFrame:
+    """:func:`day_band_join` of two tables that have their buckets already.
+
+    Tables that :func:`passagekit.sinks.bucketed.store_by_bucket` has written with the same number of files
+    meet file by file, so neither is shuffled, however often they are joined. ``max_days``
+    must be that of the buckets.
+    """
+    left, right = points.alias("left_rows"), anchors.alias("right_rows")
     near = day_gap(F.col(f"left_rows.{point_time}"), F.col(f"right_rows.{anchor_time}")) <= max_days
     return (
         left.join(
             right,
             (F.col(f"left_rows.{key}") == F.col(f"right_rows.{key}"))
-            & (F.col(f"left_rows.{_BUCKET}") == F.col(f"right_rows.{_BUCKET}"))
+            & (F.col(f"left_rows.{BUCKET}") == F.col(f"right_rows.{BUCKET}"))
             & near,
         )
         .select(
-            *[F.col(f"left_rows.{name}") for name in points.columns],
-            *[F.col(f"right_rows.{name}") for name in anchors.columns if name != key],
+            *[F.col(f"left_rows.{name}") for name in points.columns if name != BUCKET],
+            *[F.col(f"right_rows.{name}") for name in anchors.columns if name not in (key, BUCKET)],
         )
     )
