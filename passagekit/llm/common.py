@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the cluster's shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session without one, as
-    in tests on one machine, gets a folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``. A session on one machine without
+    one, as in tests, gets a folder of its own; on a cluster that raises ``ValueError``, since a
+    folder of one machine is not seen by the others.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="passagekit-checkpoints-"))
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="passagekit-checkpoints-"))
     return df.checkpoint()
 
 

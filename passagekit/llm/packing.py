@@ -19,13 +19,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagekit.llm.bpe import PATTERN, Vocabulary, vocabulary_path
+from passagekit.llm.bpe import PATTERN, Vocabulary, vocabulary_path, worker_encoder
 from passagekit.llm.common import import_on_workers, saved, table, text_of
 
 CAPACITY = 2048
 END_ID = 0
-#: Parts in which the pieces of one length are ranked, so that a common length is no single task.
-SALTS = 64
+#: Pieces of one length that are numbered by one task, about.
+PER_PART = 50_000
 
 #: Combination taken ``times`` times: (times, ((length, copies per bin), ...)).
 Combination = tuple[int, tuple[tuple[int, int], ...]]
@@ -129,12 +129,18 @@ def pieces(
 
     name, kind = ("ids_crc32", "bigint") if checksums else ("ids", "binary")
 
+    def encoded(text: str) -> bytes:
+        try:
+            return tokenizer(path).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:
+            # Its pattern gives up on very long runs of white space; the rank arrays divide them.
+            return next(iter(worker_encoder(path).encode([text])))
+
     @F.arrow_udf(f"array<struct<piece: int, start: bigint, length: bigint, {name}: {kind}>>")
     def cut(texts: pa.Array) -> pa.Array:
-        encode = tokenizer(path).encode_to_numpy
         ends, number, starts, sizes, raws = [0], [], [], [], []
         for text in texts:
-            raw = encode(text.as_py(), allowed_special="all").astype("<u4").tobytes() + end
+            raw = encoded(text.as_py()) + end
             n = len(raw) // 4
             bounds = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
             for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -163,34 +169,46 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     above ``capacity`` raises ``ValueError``.
     """
     spark = parts.sparkSession
-    parts = saved(parts)
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*parts.columns), F.lit(SALTS)))
-    sizes = saved(salted.groupBy(length_col, "_salt").agg(F.count(F.lit(1)).alias("_n")))
+    if clash := {"_row", "_length", "_parts", "_part", *("_ranks", "_bins", "_copies", "_offsets")} & set(parts.columns):
+        raise ValueError(f"columns {sorted(clash)} are named as those of the plan")
+    # Numbers of the written rows, the same whenever they are read.
+    parts = saved(parts).withColumn("_row", F.monotonically_increasing_id())
     # At most one number for each length up to the capacity.
-    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum("_n")).collect()}
+    counts = {r[0]: r[1] for r in parts.groupBy(length_col).count().collect()}
     if wrong := [x for x in counts if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths must lie between 1 and {capacity}, not {wrong[:5]}")
+    columns = [c for c in parts.columns if c != "_row"]
+    # A piece that fills a sequence needs no number among its equals. Most pieces of long texts do.
+    whole = parts.where(F.col(length_col) == capacity).select(
+        *columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    counts.pop(capacity, None)
     found = places(combinations(counts, capacity))
-    rows = [(length, *map(list, zip(*where, strict=True))) for length, where in found.items()]
-    columns = ("_ranks", "_bins", "_copies", "_offsets")
-    lookup = spark.createDataFrame(rows, ", ".join(["_length long", *(f"{c} array<long>" for c in columns)]))
-    before = Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # Both tables have at most SALTS rows for each length up to the capacity.
+    rows = [(n, -(-counts[n] // PER_PART), *map(list, zip(*where, strict=True))) for n, where in found.items()]
+    lists = ("_ranks", "_bins", "_copies", "_offsets")
+    schema = ", ".join(["_length long", "_parts long", *(f"{c} array<long>" for c in lists)])
+    lookup = F.broadcast(spark.createDataFrame(rows, schema))
+    # Pieces of a length are dealt into parts of bounded size by their row, so that equal ones are spread too.
+    some = parts.join(lookup, F.col(length_col) == F.col("_length"))
+    some = some.withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")))
+    sizes = saved(some.groupBy("_length", "_part").agg(F.count(F.lit(1)).alias("_n")))
+    before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    in_salt = Window.partitionBy(length_col, "_salt").orderBy(*parts.columns)
+    in_part = Window.partitionBy("_length", "_part").orderBy("_row")
     ranked = (
-        salted.withColumn("_rank", F.row_number().over(in_salt) - 1)
-        .join(F.broadcast(starts), [length_col, "_salt"])
+        some.withColumn("_rank", F.row_number().over(in_part) - 1)
+        .join(starts, ["_length", "_part"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
     )
-    at = F.expr("size(filter(_ranks, r -> r <= _rank)) - 1")
-    placed = ranked.join(F.broadcast(lookup), F.col(length_col) == F.col("_length")).withColumn("_at", at)
+    placed = ranked.withColumn("_at", F.expr("size(filter(_ranks, r -> r <= _rank)) - 1"))
     step = F.col("_rank") - F.get("_ranks", F.col("_at"))
     copies = F.get("_copies", F.col("_at"))
-    return placed.select(
-        *parts.columns,
-        (F.get("_bins", F.col("_at")) + F.floor(step / copies)).alias("sequence_id"),
-        (F.get("_offsets", F.col("_at")) + step % copies * F.col(length_col)).alias("offset"),
+    return whole.unionByName(
+        placed.select(
+            *columns,
+            (F.get("_bins", F.col("_at")) + F.floor(step / copies)).alias("sequence_id"),
+            (F.get("_offsets", F.col("_at")) + step % copies * F.col(length_col)).alias("offset"),
+        )
     )
 
 

@@ -2,8 +2,9 @@
 
 Detected e-mail addresses, telephone, card, account and social security numbers, network
 addresses, secrets and person names are replaced by surrogates of the same type and format: digits stay
-digits, letters keep their script, case and vowel pattern, valid check digits stay valid
-and known given names are exchanged for names of the same gender and script.
+digits, letters keep their script, case and vowel pattern, valid check digits of cards and accounts stay
+valid, a telephone number is the same one in any format, a part of a name that the text has is found where
+it stands alone, and known given names are exchanged for names of the same gender and script.
 
 A surrogate is a keyed permutation, without fixed points, of all values of the same
 shape. So the same value has the same surrogate in every document and on every machine
@@ -15,6 +16,7 @@ surrogate that collides with those is permuted again. :func:`collisions` audits
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ from passagekit.llm.common import import_on_workers, table
 #: Key of the registered query; applications pass their own secret.
 KEY = b"surrogates of the test tables"
 ROUNDS = 6
+#: Characters that are permuted together.
+STRETCH = 256
 
 # Letters that may stand for each other, lower case, by script.
 LETTERS = (
@@ -116,7 +120,13 @@ class Surrogates:
         return self._mixed((self._mixed(x, size, label) + step) % size, size, label, back=True)
 
     def shaped(self, value: str, label: str, alphabets: dict[str, str] = _CLASS) -> str:
-        """``value`` with every character exchanged within its class; case and other characters stay."""
+        """``value`` with every character exchanged within its class; case and other characters stay.
+
+        A long value is permuted in stretches, each by itself, so that the work grows with its length.
+        """
+        if len(value) > STRETCH:
+            parts = [value[i : i + STRETCH] for i in range(0, len(value), STRETCH)]
+            return "".join(self.shaped(part, f"{label} {i}", alphabets) for i, part in enumerate(parts))
         lower = [c if c in alphabets else c.lower() for c in value]
         classes = [alphabets.get(c) for c in lower]
         x, size = 0, 1
@@ -158,12 +168,11 @@ class Surrogates:
         if kind == "card":
             return self._card(value)
         if kind == "iban":
-            return value[:2] + self.shaped(value[2:], kind)
+            return self._iban(value)
         if kind == "secret" and not set(value.lower()) - set(HEX) or kind == "ipv6":
             return self.shaped(value, kind, {c: HEX for c in HEX})
-        if kind == "phone" and value.startswith("+"):
-            code = re.match(r"\+\d{1,3}(?=\D)|\+\d", value)[0]
-            return code + self.shaped(value[len(code) :], f"phone {code}")
+        if kind == "phone":
+            return self._phone(value)
         if kind == "name":
             return " ".join(map(self.name, value.split(" ")))
         return self.shaped(value, kind)
@@ -180,6 +189,33 @@ class Surrogates:
         head = parts[0] if fixed else first[x >> 24]
         return f"{head}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
 
+    def _phone(self, value: str) -> str:
+        """The same national number gets the same digits in whatever format it is written."""
+        digits = "".join(c for c in value if c.isdigit())
+        # What stays: the country code, or the 0 before a national number.
+        code = "0" if digits[0] == "0" else ""
+        if value[0] == "+":
+            code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+        # Ten digits without a code are of the plan that has the code 1.
+        plan = code or ("1" if len(digits) == 10 else "")
+        fresh = iter(code + self.shaped(digits[len(code) :], f"phone {plan}"))
+        return "".join(next(fresh) if c.isdigit() else c for c in value)
+
+    def _iban(self, value: str) -> str:
+        """Right check digits stay right and wrong ones wrong, by permuting each kind among itself."""
+        plain = value.replace(" ", "")
+        country, check, body = plain[:2], plain[2:4], plain[4:]
+        if iban_check(country, body) == check:
+            other = self.shaped(body, f"iban {country}")
+            fresh = country + iban_check(country, other) + other
+        else:
+            other = self.shaped(check + body, f"iban {country} wrong")
+            while iban_check(country, other[2:]) == other[:2]:
+                other = self.shaped(other, f"iban {country} wrong")
+            fresh = country + other
+        left = iter(fresh)
+        return "".join(c if c == " " else next(left) for c in value)
+
     def _card(self, value: str) -> str:
         digits = [c for c in value if c.isdigit()]
         body, check = "".join(digits[:-1]), int(digits[-1])
@@ -189,6 +225,11 @@ class Surrogates:
         return "".join(next(fresh) if c.isdigit() else c for c in value)
 
 
+def iban_check(country: str, body: str) -> str:
+    """The check digits of an account number without them."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
 def luhn(body: str) -> int:
     """The check digit of a card number without it."""
     total = 0
@@ -200,21 +241,41 @@ def luhn(body: str) -> int:
 
 _LOCAL = set(".+-_%")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = {"1", "7"} | set(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66"
+    " 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 #: In the order in which they win where they overlap; the value is the last group.
 PATTERNS = (
-    ("secret", re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9+/_-]{16,200})""")),
+    ("secret", re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9+/_-]{16,})""")),
+    ("secret", re.compile(r"""(?i)\bpassw(?:or)?d\b\s{0,4}[:=]\s{0,4}["']?([^\s"']{6,})""")),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([0-9A-Z]{16})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{20,})(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("ipv6", re.compile(r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])")),
+    ("ipv6", re.compile(r"(?<![0-9A-Za-z:.])([0-9A-Fa-f:]{2,37}::?[0-9A-Fa-f:]{0,37})(?![0-9A-Za-z:])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.])((?:[0-9][ -]?){12,18}[0-9])(?![0-9A-Za-z]|\.[0-9])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z-])")),
     ("ipv4", re.compile(r"(?<![0-9A-Za-z.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![0-9A-Za-z]|\.[0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4})(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])((?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])(0[1-9](?:[ .-][0-9]{2}){4})(?![0-9A-Za-z]|[ .-][0-9])")),
 )
-_WORD = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]{2,40}(?:[-'][^\W\d_]{2,40})?"
+#: Texts without any of these, in lower case, have none of the secrets above, one by one.
+SECRET_HINTS = (
+    ("token", "secret", "passw", "key"),
+    ("passw",),
+    ("private key-----",),
+    ("akia", "asia"),
+    ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+)
+_WORD = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]{2,}(?:[-'][^\W\d_]{2,})?"
 _ADDRESSED = re.compile(rf"(?<!\w)(?:{'|'.join(ADDRESS)})\.? ({_WORD}(?: {_WORD})?)(?!\w)")
 _GIVEN = re.compile(rf"(?<!\w)((?:{'|'.join(_NAMES)}) {_WORD})(?!\w)")
 _HINTS = re.compile(rf"(?<!\w)(?:{'|'.join([*ADDRESS, *_NAMES])})(?!\w)")
+_CAPITALISED = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _FIGURE = re.compile(r"[0-9]")
 
 
@@ -222,8 +283,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, done = text.find("@"), 0
     while at >= 0:
         start = at
-        # An address has at most 64 characters before the sign, so no long word is walked through.
-        while start > max(done, at - 64) and (text[start - 1].isalnum() or text[start - 1] in _LOCAL):
+        # No sign stands before the sign, so that nothing is walked through twice.
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in _LOCAL):
             start -= 1
         while start < at and text[start] in _LOCAL:
             start += 1
@@ -234,19 +295,48 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _mentions(text: str, names: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Where a part of a name that the text has stands alone. Parts have their surrogates one by one."""
+    parts = {part for start, end in names for part in text[start:end].split(" ")}
+    if parts:
+        for match in _CAPITALISED.finditer(text):
+            if match[0] in parts:
+                yield match.span()
+
+
+def _is_address(kind: str, value: str) -> bool:
+    """False for what only looks like a network address."""
+    if kind == "ipv4":
+        return all(int(p) < 256 for p in value.split("."))
+    if kind == "ipv6":
+        # Two short words around colons are code rather than an address.
+        if sum(c != ":" for c in value) < 5 or not _FIGURE.search(value):
+            return False
+        try:
+            return bool(ipaddress.IPv6Address(value))
+        except ValueError:
+            return False
+    return True
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of the entities of a text, in order and without overlaps."""
     found, low = [], text.lower()
     if "@" in text:
         found += [(0, start, end, "email") for start, end in _emails(text)]
     if _FIGURE.search(text):
-        for rank, (kind, pattern) in enumerate(PATTERNS[1:], 2):
-            found += [(rank, *m.span(1), kind) for m in pattern.finditer(text)]
-    if any(w in low for w in ("token", "secret", "passw", "key")):
-        found += [(1, *m.span(1), "secret") for m in PATTERNS[0][1].finditer(text)]
+        for rank, (kind, pattern) in enumerate(PATTERNS, 2):
+            if kind != "secret":
+                found += [(rank, *m.span(1), kind) for m in pattern.finditer(text)]
+    secrets = (pattern for kind, pattern in PATTERNS if kind == "secret")
+    for hints, pattern in zip(SECRET_HINTS, secrets, strict=True):
+        if any(hint in low for hint in hints):
+            found += [(1, *m.span(1), "secret") for m in pattern.finditer(text)]
     if _HINTS.search(text):
-        found += [(20, *m.span(1), "name") for p in (_ADDRESSED, _GIVEN) for m in p.finditer(text)]
-    found = [x for x in found if x[3] != "ipv4" or all(int(p) < 256 for p in text[x[1] : x[2]].split("."))]
+        names = [m.span(1) for p in (_ADDRESSED, _GIVEN) for m in p.finditer(text)]
+        found += [(20, *span, "name") for span in names]
+        found += [(21, *span, "name") for span in _mentions(text, names)]
+    found = [x for x in found if _is_address(x[3], text[x[1] : x[2]])]
     # The kinds that win take their place first; then the rest, where room is left.
     kept: list[tuple[str, int, int]] = []
     taken = bytearray(len(text) if found else 0)
@@ -292,8 +382,11 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, c
     carried along; a column of the name ``count_col`` is overwritten.
     """
     import_on_workers(docs.sparkSession)
-    done = docs.withColumn("_redacted", redacted(text_col, key))
-    return done.withColumns({text_col: F.col("_redacted.text"), count_col: F.col("_redacted.n_entities")}).drop("_redacted")
+    name = "_redacted"
+    while name in docs.columns:
+        name += "_"
+    done = docs.withColumn(name, redacted(text_col, key))
+    return done.withColumns({text_col: F.col(f"{name}.text"), count_col: F.col(f"{name}.n_entities")}).drop(name)
 
 
 def mapping(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.llm.common import id_remainder, import_on_workers, table, utf8_of
+from passagekit.llm.common import id_remainder, import_on_workers, table, text_of, utf8_of
 from passagekit.llm.quality_rules import Batch, _some, duplicate_lines, symbols
 
 #: Labelled rows the model is fitted on; more are chosen by the hash of their id.
@@ -249,20 +249,21 @@ def train(
 ) -> Model:
     """Fit the model to ``labels`` (``id_col`` and ``label_col``, 0 or 1) of ``docs``.
 
-    At most ``max_examples`` labelled ids are used, those with the smallest hashes; other
-    labels than 0 and 1 and null ids are left out. Only their features reach the driver.
+    At most ``max_examples`` labelled ids that a document has are used, those with the smallest hashes; other
+    labels than 0 and 1 and null ids are left out. Of repeated rows with one id, label and text one
+    counts, and of those examples at most ``max_examples``, by id; only their features reach the driver.
     """
     import_on_workers(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_examples)
+    known = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    known = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_examples)
     # The sample is bounded, so it goes to all tasks and the documents stay where they are.
     found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known), F.col(id_col) == F.col("_id"))
-    rows = found.select("_id", "_label", _features_of(text_col).alias("_features")).collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    # A repeated document adds rows; the bound holds for what the model is fitted on.
-    rows = rows[:max_examples]
-    x = np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES))
+    found = found.select("_id", "_label", F.xxhash64(text_of(text_col)).alias("_hash"), _features_of(text_col).alias("_features"))
+    single = found.groupBy("_id", "_label", "_hash").agg(F.first("_features").alias("_features"))
+    rows = single.orderBy("_id", "_label", "_hash").limit(max_examples).collect()
+    x = np.array([r[3] for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], dtype=float))
 
 

@@ -81,3 +81,43 @@ def test_empty_table_and_wrong_lengths(spark):
     for wrong in (0, 33, None):
         with pytest.raises(ValueError, match="lengths"):
             packing.pack(spark.createDataFrame([(wrong,)], "length long"), 32)
+
+
+def test_very_long_runs_of_white_space_and_symbols(spark):
+    """The tokeniser's pattern gives up on some of these; the ids are those of the rank arrays."""
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", " \n\t" * 400_000 + "x", "!?" * 300_000, "a" * 300_000, "\u3000" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id: np.array(r.ids, dtype="<u4") for r in bpe.encoded(docs, PATH).collect()}
+    found = {}
+    for r in sorted(packing.packed(docs, PATH).collect(), key=lambda r: (r.doc_id, r.piece)):
+        found.setdefault(r.doc_id, []).append(r)
+    for doc_id, rows in found.items():
+        whole = np.append(ids[doc_id], np.uint32(0)).astype("<u4")
+        assert sum(r.length for r in rows) == len(whole)
+        assert all(zlib.crc32(whole[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows)
+    assert set(found) == set(range(len(texts)))
+
+
+def test_pieces_that_fill_a_sequence_are_not_ranked(spark, monkeypatch):
+    """Equal rows of any number are spread over parts of bounded size; full ones are given their own sequence."""
+    monkeypatch.setattr(packing, "PER_PART", 10)
+    parts = spark.range(500).selectExpr("7L AS doc_id", "IF(id < 300, 32L, IF(id < 450, 20L, 12L)) AS length")
+    packed = packing.pack(parts, 32)
+    rows = packed.collect()
+    full = [r.sequence_id for r in rows if r.length == 32]
+    assert len(full) == len(set(full)) == 300 and all(r.offset == 0 for r in rows if r.length == 32)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(by_sequence) == 300 + 150
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 32
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    ranked = [line for line in plan.splitlines() if "row_number()" in line]
+    assert len(ranked) == 1 and "_part#" in ranked[0] and "_row#" in ranked[0]
+    with pytest.raises(ValueError):
+        packing.pack(parts.withColumnRenamed("doc_id", "_row"), 32)

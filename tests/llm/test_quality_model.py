@@ -48,3 +48,17 @@ def test_odd_rows(spark):
     assert len({r.quality_score for r in rows if r.doc_id == 2}) == 1
     assert {r.quality for r in rows} == {"a", "b", "c", None}
     assert model.with_score(docs.limit(0), labels).collect() == []
+
+
+def test_copies_and_unknown_ids_stay_within_the_bound(spark, monkeypatch):
+    """Repeated rows are folded before anything is collected, and ids without a document use up no place."""
+    seen = []
+    fit = model.fit
+    monkeypatch.setattr(model, "fit", lambda x, y: seen.append(len(x)) or fit(x, y))
+    docs = spark.range(2000).selectExpr("id % 10 AS doc_id", "CONCAT('some words ', id % 10) AS text")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    model.train(docs, labels, max_examples=8)
+    model.train(docs, labels, max_examples=100)
+    many = spark.range(2000).selectExpr("1L AS doc_id", "CONCAT('text ', id) AS text")
+    model.train(many, labels, max_examples=50)
+    assert seen == [8, 10, 50]
