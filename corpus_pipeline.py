@@ -1,4 +1,9 @@
-"""Documents to packed training sequences: filter, deduplicate, redact and pack."""
+"""Documents to packed training sequences: filter, deduplicate, redact and pack.
+
+All stages keep the columns they get, whatever they are called, and take null and empty texts, null ids and
+repeated rows: a text that is null counts as empty where it is judged and stays null where it is kept. Repeated
+rows are judged alike, and near-duplicates keeps one of them. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,20 +18,33 @@ from passagekit.llm.common import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the documents has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio against those labelled good."""
-    judged = quality_rules.with_verdict(docs, quality_rules.trusted(spark, sf_dir), out_col="_judged")
-    return judged.where("_judged.kept").select(*docs.columns)
+    """Documents that pass the base rules and the likelihood ratio against those labelled good.
+
+    Null and empty texts have too few words and go.
+    """
+    name = _free(docs, "_judged")
+    judged = quality_rules.with_verdict(docs, quality_rules.trusted(spark, sf_dir), out_col=name)
+    return judged.where(f"{name}.kept").select(*docs.columns)
 
 
 def keep_by_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good.
 
-    It learns from all labelled documents, since few bad ones are left among ``docs``.
+    It learns from all labelled documents, since few bad ones are left among ``docs``. Equal texts
+    have equal scores; without labels every document stays.
     """
     labels, examples = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
-    scored = quality_model.with_score(docs, labels, out_col="_score", examples=examples)
-    return scored.where(F.col("_score") >= quality_model.CUT).select(*docs.columns)
+    name = _free(docs, "_score")
+    scored = quality_model.with_score(docs, labels, out_col=name, examples=examples)
+    return scored.where(F.col(name) >= quality_model.CUT).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +61,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Surrogates for personal data; ``n_chars`` follows the text."""
-    done = pii.with_surrogates(docs, count_col="_entities")
+    """Surrogates for personal data; ``n_chars`` follows the text and is null with it. No row goes."""
+    done = pii.with_surrogates(docs, count_col=_free(docs, "_entities"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null or empty text is one piece of its end token."""
     return packing.packed(docs, bpe.vocabulary_path())
 
 
