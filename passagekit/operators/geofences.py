@@ -80,6 +80,12 @@ def validate_geofences(geofences: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def acceptance_counts() -> tuple[Column, Column]:
+    """Numbers of ``accepted`` and ``rejected`` rows of a checked table, to aggregate or to observe."""
+    reason = F.col("reason")
+    return F.count_if(reason.isNull()).alias("accepted"), F.count_if(reason.isNotNull()).alias("rejected")
+
+
 def registry_rows(accepted: DataFrame, srid: int = 4326) -> DataFrame:
     """Accepted geofences as registry rows."""
     return accepted.select(*REQUIRED_FIELDS, F.lit(srid).cast("int").alias("srid"))

@@ -30,7 +30,7 @@ from passagekit.operators.trajectories import (
 )
 from passagekit.plans.flows import recent_cargo, recent_lines, recent_positions
 from passagekit.schemas import CARGO_COLUMNS, from_lake_schema, to_lake_schema
-from passagekit.sinks.exports import line_features
+from passagekit.sinks.exports import csv_lines, line_features
 from passagekit.sources import geojson
 from passagekit.sources.tables import asset_events, geofence_map, read_table
 
@@ -708,6 +708,18 @@ def cargo_page_after(spark, sf_dir):
     )
 
 
+@report(
+    "cargo_export",
+    f"""SELECT concat_ws(',', CAST(vessel_key AS VARCHAR), geofence, CAST(passage_time AS VARCHAR),
+                         coalesce(CAST(load_date AS VARCHAR), 'NaT'), coalesce(CAST(unload_date AS VARCHAR), 'NaT'),
+                         coalesce(CAST(quantity AS VARCHAR), ''), coalesce(grade, '')) AS line
+        FROM ({_TABLE}) m""",
+)
+def cargo_export(spark, sf_dir):
+    columns = ("vessel_key", "geofence", "passage_time", "load_date", "unload_date", "quantity", "grade")
+    return csv_lines(_table(spark, sf_dir).select(*columns), null_time_label="NaT")
+
+
 # ---------------------------------------------------------------- geofences
 
 
@@ -844,6 +856,18 @@ def geofence_validation(spark, sf_dir):
     return geofences.checked_geofences(fixtures.fixture(spark, sf_dir, "geofence_uploads"))
 
 
+@report(
+    "geofence_upload_counts",
+    f"""SELECT count(*) FILTER (valid) AS accepted, count(*) FILTER (NOT valid) AS rejected
+        FROM (SELECT coalesce(geofence_name, '') <> '' AND coalesce(port_name, '') <> ''
+                     AND coalesce(wkt_coordinates, '') <> '' AS valid
+              FROM ({_TRIMMED}) t) x""",
+)
+def geofence_upload_counts(spark, sf_dir):
+    checked = geofences.checked_geofences(fixtures.fixture(spark, sf_dir, "geofence_uploads"))
+    return checked.agg(*geofences.acceptance_counts())
+
+
 _ACCEPTED = f"""
     SELECT * FROM ({_TRIMMED}) t
     WHERE geofence_name <> '' AND port_name <> '' AND wkt_coordinates <> ''"""

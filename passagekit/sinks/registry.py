@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.operators.geofences import checked_geofences, registry_rows, without_geofences
+from passagekit.operators.geofences import acceptance_counts, checked_geofences, registry_rows, without_geofences
 from passagekit.operators.passages import with_passage_date
 from passagekit.schemas import to_lake_schema
 from passagekit.sources import versions
@@ -34,11 +34,7 @@ def _append_checked(geofences: DataFrame, path: str, to_rows, format: str, batch
     if done is not None:
         return done["counts"]
     seen = Observation()
-    checked = checked_geofences(geofences).observe(
-        seen,
-        F.count_if(F.col("reason").isNull()).alias("accepted"),
-        F.count_if(F.col("reason").isNotNull()).alias("rejected"),
-    )
+    checked = checked_geofences(geofences).observe(seen, *acceptance_counts())
     rows = to_rows(checked.where(F.col("reason").isNull()).drop("reason"))
     # What an earlier try has left is replaced; it was not part of the table.
     rows.write.format(format).mode("overwrite").save(f"{path}/batch-{batch}")

@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import json
 
@@ -15,7 +16,7 @@ from passagekit.schemas import (
     to_lake_schema,
 )
 from passagekit.sinks import registry
-from passagekit.sinks.exports import write_csv, write_geojson
+from passagekit.sinks.exports import csv_lines, export_table, write_csv, write_geojson
 from passagekit.sources import geojson
 from passagekit.sources.tables import asset_events, geofence_map, read_table
 
@@ -395,3 +396,22 @@ def test_exports(spark, tmp_path):
     assert json.loads(text) == {"q": 1.5}
     write_geojson(features, str(tmp_path / "flat"), partition_by=())
     assert spark.read.text(str(tmp_path / "flat")).count() == 2
+
+
+def test_csv_lines_are_those_of_the_written_file(spark, tmp_path):
+    rows = [('a, "b"', 1.5, None), ("", None, dt.datetime(2024, 1, 2, 3, 4, 5)), (None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "`a name` string, q double, t timestamp_ntz").coalesce(1)
+    path, n = export_table(df, f"{tmp_path}/", dt.datetime(2024, 5, 6, 7, 8, 9))
+    assert (path, n) == (f"{tmp_path}/geofence_cargo_data_20240506_070809.csv", 3)
+    written = [r.value for r in spark.read.text(path).collect()]
+    assert written[0] == "a name,q,t"
+    assert sorted(written[1:]) == sorted(r.line for r in csv_lines(df).collect())
+    with pytest.raises(Exception, match="already exists"):
+        export_table(df, str(tmp_path), dt.datetime(2024, 5, 6, 7, 8, 9))
+
+
+def test_a_table_without_rows_is_exported(spark, tmp_path):
+    empty = spark.createDataFrame([], "a string, t date")
+    path, n = export_table(empty, str(tmp_path), dt.datetime(2024, 1, 1), stem="none", null_time_label="NaT")
+    assert n == 0 and path.endswith("/none_20240101_000000.csv")
+    assert spark.read.option("header", True).schema("a string, t string").csv(path).count() == 0
