@@ -15,6 +15,9 @@ POLYGON_TEXT = r"(?is)^\s*POLYGON\s*(?:Z\s*)?\(\s*(\(.*\))\s*\)\s*$"
 # The same of a multipolygon; group 1 holds its bracketed polygons.
 MULTIPOLYGON_TEXT = r"(?is)^\s*MULTIPOLYGON\s*(?:Z\s*)?\(\s*(\(\s*\(.*\)\s*\))\s*\)\s*$"
 
+# Rings of points of numbers.
+RINGS_TYPE = "array<array<array<double>>>"
+
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
@@ -87,16 +90,44 @@ def multipolygon_rings(wkt: Column) -> Column:
     )
 
 
-def wkt_fault(wkt: Column) -> Column:
-    """Why a WKT text is not read as a polygon or multipolygon, null if it is."""
+def wkt_shape(wkt: Column) -> Column:
+    """What a WKT text is, read once: a struct of ``polygon``, ``multipolygon`` and ``fault``.
+
+    One of them is known: the rings of a polygon, the polygons of a multipolygon, each as
+    :func:`polygon_rings` and :func:`multipolygon_rings` give them, or why the text is neither.
+    """
+
+    def shape(fault: Column, polygon: Column | None = None, multipolygon: Column | None = None) -> Column:
+        def sound(value: Column | None, kind: str) -> Column:
+            return F.lit(None).cast(kind) if value is None else F.when(fault.isNull(), value)
+
+        return F.struct(
+            sound(polygon, RINGS_TYPE).alias("polygon"),
+            sound(multipolygon, f"array<{RINGS_TYPE}>").alias("multipolygon"),
+            fault.alias("fault"),
+        )
+
+    one = bound(
+        _rings(F.regexp_extract(wkt, POLYGON_TEXT, 1)),
+        lambda rings: bound(_fault(rings), lambda fault: shape(fault, polygon=rings)),
+    )
+    several = bound(
+        _polygons(wkt),
+        lambda polygons: bound(_fault(F.flatten(polygons)), lambda fault: shape(fault, multipolygon=polygons)),
+    )
     return (
-        F.when(wkt.isNull() | (F.trim(wkt) == ""), F.lit("it is empty"))
-        .when(F.rlike(wkt, F.lit(POLYGON_TEXT)), _fault(_rings(F.regexp_extract(wkt, POLYGON_TEXT, 1))))
-        .when(F.rlike(wkt, F.lit(MULTIPOLYGON_TEXT)), _fault(F.flatten(_polygons(wkt))))
-        .otherwise(F.lit("it is neither POLYGON nor MULTIPOLYGON"))
+        F.when(wkt.isNull() | (F.trim(wkt) == ""), shape(F.lit("it is empty")))
+        .when(F.rlike(wkt, F.lit(POLYGON_TEXT)), one)
+        .when(F.rlike(wkt, F.lit(MULTIPOLYGON_TEXT)), several)
+        .otherwise(shape(F.lit("it is neither POLYGON nor MULTIPOLYGON")))
     )
 
 
+def wkt_fault(wkt: Column) -> Column:
+    """Why a WKT text is not read as a polygon or multipolygon, null if it is."""
+    return wkt_shape(wkt)["fault"]
+
+
 def number_text(number: Column) -> Column:
     """Shortest plain decimal text of a coordinate: ``10``, ``-47.47``, ``0.0001``."""
     # Between these the text of a double has no exponent.

@@ -9,10 +9,10 @@ from passagekit.functions.geometry import (
     compact_wkt,
     feature_struct,
     geometry_struct,
-    multipolygon_rings,
     polygon_rings,
     rings_to_wkt,
     wkt_fault,
+    wkt_shape,
 )
 from passagekit.plans.parts import bounded_parts
 from passagekit.sources.geojson import geofence_payload
@@ -110,14 +110,15 @@ def geofence_features(geofences: DataFrame, wkt: str = "wkt_coordinates") -> Dat
         feature = feature_struct(geometry, name=port, tooltip=port, geofence_name=name)
         return F.when(geometry.isNotNull(), F.to_json(feature, {"ignoreNullFields": "false"}))
 
-    several = geometry_struct("MultiPolygon", multipolygon_rings(F.col(wkt)))
-    drawn = wkt_to_geojson(geofences, wkt).withColumn("_several", several)
-    return drawn.withColumns(
+    shape = F.col("_shape")
+    drawn = geofences.withColumn("_shape", wkt_shape(F.col(wkt))).withColumns(
         {
-            "feature": F.coalesce(text(F.col("geometry")), text(F.col("_several"))),
-            "feature_fault": wkt_fault(F.col(wkt)),
+            "geometry": geometry_struct("Polygon", shape["polygon"]),
+            "_several": geometry_struct("MultiPolygon", shape["multipolygon"]),
         }
-    ).drop("_several")
+    )
+    feature = F.coalesce(text(F.col("geometry")), text(F.col("_several")))
+    return drawn.withColumns({"feature": feature, "feature_fault": shape["fault"]}).drop("_shape", "_several")
 
 
 def feature_collections(

@@ -18,6 +18,7 @@ from passagekit.functions.geometry import (
     polygon_rings,
     rings_to_wkt,
     wkt_fault,
+    wkt_shape,
 )
 
 
@@ -123,6 +124,9 @@ def test_multipolygons_and_faults(spark):
     df = spark.createDataFrame([(c[0],) for c in cases], "wkt string")
     rows = df.select(multipolygon_rings(F.col("wkt")), wkt_fault(F.col("wkt"))).collect()
     assert [tuple(r) for r in rows] == [c[1:] for c in cases]
+    text = F.col("wkt")
+    apart = df.select(polygon_rings(text), multipolygon_rings(text), wkt_fault(text)).collect()
+    assert [tuple(r) for r in df.select(wkt_shape(text).alias("s")).select("s.*").collect()] == [tuple(r) for r in apart]
 
 
 def test_long_polygon(spark):
