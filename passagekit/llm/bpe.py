@@ -47,17 +47,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def tokens_of(path: str) -> tuple[dict, dict[int, bytes], dict[str, int]]:
+    """Model, bytes by id and special tokens of a byte-level BPE file."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, symbols = content["model"], byte_symbols()
+    bytes_of = {i: bytes(symbols[c] for c in t) for t, i in model["vocab"].items() if all(c in symbols for c in t)}
+    special = {t["content"]: t["id"] for t in content["added_tokens"]}
+    return model, bytes_of | {i: t.encode() for t, i in special.items()}, special
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
-        model, symbols = content["model"], byte_symbols()
-        ids = model["vocab"]
-        self.bytes_of = {i: bytes(symbols[c] for c in t) for t, i in ids.items() if all(c in symbols for c in t)}
-        self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        model, self.bytes_of, self.special = tokens_of(path)
+        symbols, ids = byte_symbols(), model["vocab"]
         self.first = np.zeros(256, dtype=np.int64)
         for symbol, byte in symbols.items():
             self.first[byte] = ids[symbol]

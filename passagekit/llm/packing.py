@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagekit.llm.bpe import PATTERN, Vocabulary, vocabulary_path, worker_encoder
+from passagekit.llm.bpe import PATTERN, tokens_of, vocabulary_path, worker_encoder
 from passagekit.llm.common import import_on_workers, saved, table, text_of
 
 CAPACITY = 2048
@@ -99,9 +99,8 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     file's own library, in a quarter of its time.
     """
     if path not in _TOKENIZERS:
-        vocabulary = Vocabulary(path)
-        special = vocabulary.special
-        ranks = {b: i for i, b in vocabulary.bytes_of.items() if i not in special.values()}
+        _, pieces_of, special = tokens_of(path)
+        ranks = {b: i for i, b in pieces_of.items() if i not in special.values()}
         _TOKENIZERS[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _TOKENIZERS[path]
 
@@ -158,7 +157,9 @@ def pieces(
         found = pa.StructArray.from_arrays(columns, names=["piece", "start", "length", name])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
-    return docs.select(F.col(id_col), cut(text_of(text_col)).alias("_pieces")).select(id_col, F.inline("_pieces"))
+    cut_up = docs.select(F.col(id_col), cut(text_of(text_col)).alias("_pieces"))
+    # Every text has a piece. A plain inline would be preceded by a filter on the pieces, for which Spark encodes all texts once more.
+    return cut_up.select(id_col, F.inline_outer("_pieces"))
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
@@ -186,8 +187,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     found = places(combinations(counts, capacity))
     rows = [(n, -(-counts[n] // PER_PART), *map(list, zip(*where, strict=True))) for n, where in found.items()]
     lists = ("_ranks", "_bins", "_copies", "_offsets")
-    schema = ", ".join(["_length long", "_parts long", *(f"{c} array<long>" for c in lists)])
-    lookup = F.broadcast(spark.createDataFrame(rows, schema))
+    schema = pa.schema([("_length", pa.int64()), ("_parts", pa.int64()), *((c, pa.list_(pa.int64())) for c in lists)])
+    # As an Arrow table, since Spark would start Python workers of their own to read a list of rows.
+    plan = pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
+    lookup = F.broadcast(spark.createDataFrame(plan))
     # Pieces of a length are dealt into parts of bounded size by their row, so that equal ones are spread too.
     some = parts.join(lookup, F.col(length_col) == F.col("_length"))
     some = some.withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")))

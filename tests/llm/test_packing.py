@@ -121,3 +121,10 @@ def test_pieces_that_fill_a_sequence_are_not_ranked(spark, monkeypatch):
     assert len(ranked) == 1 and "_part#" in ranked[0] and "_row#" in ranked[0]
     with pytest.raises(ValueError):
         packing.pack(parts.withColumnRenamed("doc_id", "_row"), 32)
+
+
+def test_texts_are_encoded_once(spark):
+    """A filter on the pieces would encode every text a second time, in a Python worker of its own."""
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    plan = packing.pieces(docs, PATH, 32, checksums=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
