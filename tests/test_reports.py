@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from passagekit import reports
 from passagekit.reports import CHECKS, QUERIES
 from tests import oracle
 
@@ -76,3 +77,19 @@ def test_periods_count_every_timed_event(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").count()
     for name in ("entries_daily", "entries_weekly", "entries_monthly"):
         assert QUERIES[name](spark, sf_dir).agg({"count": "sum"}).first()[0] == events
+
+
+def test_both_pages_read_one_match(spark, monkeypatch):
+    """The page before and the page itself read stored rows; their source is not run again."""
+    rows = spark.range(60).selectExpr(
+        "id % 7 AS vessel_key", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, id) AS passage_time",
+        "IF(id % 9 = 0, NULL, CAST(id % 20 AS DOUBLE)) AS quantity", "'g' || id % 3 AS grade", "id AS other",
+    )
+    monkeypatch.setattr(reports, "_table", lambda spark, sf_dir: rows)
+    page = reports.cargo_page_after(spark, "")
+    assert "Range" not in page._jdf.queryExecution().executedPlan().toString()
+    wanted = [r for r in rows.drop("other").collect() if r.quantity is not None and r.quantity >= 10]
+    wanted.sort(key=lambda r: (-r.quantity, r.vessel_key, r.passage_time))
+    assert page.collect() == wanted[20:30]
+    monkeypatch.setattr(reports, "_table", lambda spark, sf_dir: rows.limit(0))
+    assert reports.cargo_page_after(spark, "").collect() == []
