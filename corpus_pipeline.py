@@ -54,10 +54,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     the copy of another one and stay, equal texts as one.
     """
     groups = simhash.near_duplicates(docs, words_per_shingle=3, max_bits=2)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = first.union(spark.range(1).select(F.lit(None).cast("long").alias("_id")))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    first, place, times = (_free(docs, name) for name in ("_first", "_place", "_times"))
+    firsts = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(first)).agg(F.count(F.lit(1)).alias(times))
+    # Rows go by id, those without one by text. Both branches filter after the join, so that they read the same
+    # shuffle of the texts; hash tables hold ids only, and only texts that may be repeated rows are sorted.
+    placed = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    joined = placed.join(firsts.hint("shuffle_hash"), F.col(place) == F.col(first), "left")
+    single = joined.where(F.col(times) + F.col("doc_id").isNull().cast("long") == 1)
+    repeated = joined.where(F.col("doc_id").isNull() | (F.col(times) > 1)).dropDuplicates([place, "doc_id", "text"])
+    return single.union(repeated).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, and what it does to each document."""
 
+import re
+
 import corpus_pipeline
 from passagekit.llm import pii, quality_model, quality_rules, simhash
 from tests.llm.conftest import CHECKED
@@ -47,3 +49,21 @@ def test_empty_and_odd_documents(spark, tmp_path):
             if stage_name == "simhash_near_dedup":
                 assert len(found) == (3 if rows_of else 0)
         assert corpus_pipeline.run(spark, str(tmp_path / name)).collect() == []
+
+
+def test_near_copies_move_each_text_once(spark, tmp_path):
+    text = "one two three four five six"
+    hashed = spark.sql(f"SELECT xxhash64('{text} seven')").first()[0]
+    rows = [(7, text, 1, 2), (5, text, 1, 2), (5, text, 1, 2), (None, text, 3, 4), (None, text, 3, 4), (None, None, 5, 6), (8, None, 7, 8)]
+    rows += [(hashed, "something else altogether here", 9, 0), (None, f"{text} seven", 9, 0), (5, "", 9, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _first int, _place int")
+    docs.write.parquet(str(tmp_path / "documents"))
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.read.parquet(str(tmp_path / "documents")), "")
+    assert kept.columns == docs.columns
+    wanted = [(5, text, 1, 2), (None, text, 3, 4), (None, None, 5, 6), rows[7], rows[8], (5, "", 9, 0)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(wanted, key=str)
+    # Texts are shuffled once, and sorted only after the join, where none but those of repeated rows are left.
+    plan = kept._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+    written = re.findall(r"(?m)^\W*Exchange hashpartitioning\((.*)", plan)
+    assert sum("_place" in keys for keys in written) == 1, plan
